@@ -11,9 +11,25 @@ from ..lineage import cut_lineage
 from .common import table
 from .encoding import VOCABULARY, count_tokens, encode_texts
 from .packing import container_fill, pack
+from .residue import find_residue
 from .splitting import split_oversized
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    images = find_residue(table(spark, d, "image_metadata"), "filename", "image_content").withColumnRenamed("filename", "record_key")
+    chunks = find_residue(table(spark, d, "all_chunks"), "chunk_id", "content").withColumnRenamed("chunk_id", "record_key")
+    return images.withColumn("record_table", F.lit("image_metadata")).unionByName(chunks.withColumn("record_table", F.lit("all_chunks")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).select("record_table", "record_key")
+
+
+def p1_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage and kinds of every record with residue."""
+    return _residue(spark, d)
+
+
 def _limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
     """The three rows of size_limits."""
     return {r["limit_name"]: (r["max_tokens"], r["overlap_tokens"]) for r in table(spark, d, "size_limits").limit(100).collect()}
@@ -53,6 +69,6 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 
 ORACLES: dict[str, str] = {}
