@@ -11,6 +11,7 @@ from ..lineage import cut_lineage
 from .common import table
 from .encoding import VOCABULARY, count_tokens, encode_texts
 from .packing import container_fill, pack
+from .pairs import find_defects
 from .residue import find_residue
 from .splitting import split_oversized
 
@@ -47,6 +48,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where("piece_no = 0").select("chunk_id", "boundary")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "all_chunks").where(F.col("chunk_type").isin("text", "table"))
+    return find_defects(chunks, "chunk_id", "hyde_questions", "content", "chunk_type")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), vocabulary=VOCABULARY)
 
@@ -69,6 +75,6 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 
 ORACLES: dict[str, str] = {}
