@@ -13,6 +13,7 @@ from .encoding import VOCABULARY, count_tokens, encode_texts
 from .packing import container_fill, pack
 from .pairs import find_defects
 from .residue import find_residue
+from .spam import find_spam
 from .splitting import split_oversized
 
 
@@ -75,6 +76,10 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_spam(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
