@@ -168,7 +168,7 @@ def scan(text: str | None) -> tuple[float, list[str]] | None:
 
 def find_residue(df: DataFrame, key: str, text: str, min_coverage: float = 0.0) -> DataFrame:
     """(key, coverage DOUBLE, kinds ARRAY<STRING>) of every record with residue; see the module for the defined cases."""
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).groupBy(F.col(key).alias("k"), F.col(text).alias("t")).agg()
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"))
     rows = spread(rows, "k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
