@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..lineage import cut_lineage
 from .common import table
 from .encoding import VOCABULARY, count_tokens, encode_texts
+from .neardup import expand_pairs, group_ids, near_duplicates
 from .packing import container_fill, pack
 from .pairs import find_defects
 from .residue import find_residue
+from .scan_repair import find_noise, repair
 from .spam import find_spam
 from .splitting import split_oversized
 
@@ -37,6 +39,30 @@ def _limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
     return {r["limit_name"]: (r["max_tokens"], r["overlap_tokens"]) for r in table(spark, d, "size_limits").limit(100).collect()}
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_noise(table(spark, d, "image_metadata"), "filename", "image_content")
+
+
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every scanned record."""
+    return repair(table(spark, d, "image_metadata"), "filename", "image_content")
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, d, "all_chunks").where(F.col("chunk_type").isin("text", "table"))
+    return near_duplicates(chunks, "chunk_id", "content", 0.7)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs, as the data set defines them; those of equal sets are expanded here and only here."""
+    return expand_pairs(*_near(spark, d)).toDF("chunk_id_a", "chunk_id_b")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per chunk: its group and its number of links."""
+    return group_ids(*_near(spark, d)).toDF("chunk_id", "group_id", "n_links")
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     size, overlap = _limits(spark, d)["chunk_split"]
     return split_oversized(table(spark, d, "all_chunks"), "chunk_id", "content", size, overlap, ("breadcrumb",))
@@ -80,6 +106,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_spam(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_groups": p4_groups, "p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
