@@ -96,12 +96,13 @@ def layout(lines: list[str], seen: list[int]) -> np.ndarray:
         out[i, 8] = (2 if after[:1].islower() else 1) if open_before and not s[0].islower() else 3 if s[0].islower() else 0
         out[i, 9] = int(bool(NUMBERED.match(s)) and len(words) <= 7)
         out[i, 10] = (1 if i and not texts[i - 1] else 0) + (2 if i + 1 < n and not texts[i + 1] else 0)
+        out[i, 12] = int(not open_before and after[:1].islower() and s[-1] not in ".!?:")
         out[i, 11] = 1 if s[0] == "|" and s.count("|") > 2 or s in "↓→▼" or "->" in s or "→" in s else 0
     return out
 
 
 #: Values of each feature.
-SIZES = [6, 4, 5, 4, 5, 4, 4, 3, 4, 2, 4, 2]
+SIZES = [6, 4, 5, 4, 5, 4, 4, 3, 4, 2, 4, 2, 2]
 OFFSETS = np.concatenate(([0], np.cumsum(SIZES)))
 STATES = len(LABELS)
 WIDTH = int(OFFSETS[-1])
@@ -133,6 +134,8 @@ def viterbi(x: np.ndarray, model: np.ndarray | None) -> np.ndarray:
     score[BREAK, ~blank] = -1e9
     score[:, blank] = -1e9
     score[BREAK, blank] = 0.0
+    plain = (x[:, 4] <= 2) & ((x[:, 5] == 0) | (x[:, 5] == 3))
+    score[HEADER, (x[:, 11] == 1) | (x[:, 12] == 1) & plain] = -1e9  # tables, diagrams and plain lines that go on in the next are none
     if (~blank).sum() <= 1:
         score[[HEADER, PAGE_NO], :] = -1e9
     step = model[:, 1 : STATES + 1]
@@ -327,13 +330,7 @@ def _word_noise(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = cut_lineage(pages.mapInPandas(words, f"k {kind}, i int, j int, part int, word string, split string"))
     counts = cut_lineage(tokens.where("split IS NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     broken = tokens.where("split IS NOT NULL")
-    whole, split = counts.toDF("word", "nw"), counts.toDF("split", "ns")
-    broken = broken.join(whole, "word", "left").join(split, "split", "left").fillna(0, ["nw", "ns"])
-    # written with its hyphen elsewhere, and more often than without
-    broken = broken.withColumn("noise", F.col("ns") <= F.col("nw"))
-    broken = cut_lineage(broken.select("k", "i", "j", "part", F.when(F.col("noise"), F.col("word")).otherwise(F.col("split")).alias("word"), "noise"))
-
-    forms = tokens.where("split IS NULL").select("word").union(broken.select("word")).distinct()
+    forms = tokens.select("word").union(broken.select("split")).distinct()
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -342,8 +339,14 @@ def _word_noise(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     proposed = forms.mapInPandas(propose, "word string, right string, place int")
     judged = proposed.join(counts.toDF("right", "nr"), "right").join(counts, "word", "left").fillna(0, ["n"])
     judged = judged.where((F.col("nr") >= LEAST) & (F.col("nr") >= RATIO * F.greatest("n", F.lit(1))))
-    best = judged.groupBy("word").agg(F.max(F.struct("nr", F.struct(F.col("right"), F.col("place")))).alias("b"))
-    best = cut_lineage(best.select("word", F.col("b.col2.right").alias("right"), F.col("b.col2.place").alias("place")))
+    best = judged.groupBy("word").agg(F.max(F.struct("nr", "right", "place")).alias("b"))
+    best = cut_lineage(best.select("word", F.col("b.nr").alias("nr"), F.col("b.right").alias("right"), F.col("b.place").alias("place")))
+
+    known = counts.join(best.select("word", "nr"), "word", "full").select("word", F.coalesce("nr", "n").alias("n"))
+    broken = broken.join(known.toDF("word", "nw"), "word", "left").join(known.toDF("split", "ns"), "split", "left").fillna(0, ["nw", "ns"])
+    # no noise where it is written with its hyphen elsewhere, and more often than without (misread forms count as what they stand for)
+    broken = broken.withColumn("noise", F.col("ns") <= F.col("nw"))
+    broken = cut_lineage(broken.select("k", "i", "j", "part", F.when(F.col("noise"), F.col("word")).otherwise(F.col("split")).alias("word"), "noise"))
     plain = tokens.where("split IS NULL").select("k", "i", "j", "part", "word")
     all_words = plain.union(broken.select("k", "i", "j", "part", "word"))
     wrong = all_words.join(best, "word")
