@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut_lineage
 from .common import table
 from .encoding import VOCABULARY, count_tokens, encode_texts
+from .knn import nearest
 from .neardup import expand_pairs, group_ids, near_duplicates
 from .packing import container_fill, pack
 from .pairs import find_defects
@@ -39,6 +40,17 @@ def _limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
     return {r["limit_name"]: (r["max_tokens"], r["overlap_tokens"]) for r in table(spark, d, "size_limits").limit(100).collect()}
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every usable vector."""
+    return nearest(table(spark, d, "all_chunks_embedded"), "chunk_id", "embedding", 5, 64)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p2_neighbours(spark, d)
+    a, b = F.col("chunk_id"), F.col("neighbour")
+    return near.select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return find_noise(table(spark, d, "image_metadata"), "filename", "image_content")
 
@@ -106,6 +118,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_spam(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_groups": p4_groups, "p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_groups": p4_groups, "p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {}
