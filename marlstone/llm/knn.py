@@ -27,14 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 
 SAMPLE, SHARD, MAX_SHARD = 100_000, 1500, 4096
-PROBES, MARGIN = 6, 0.15
-LINKS, EF_BUILD, EF_SEARCH, EF_UPPER, BATCH, WIDE = 16, 32, 24, 8, 1024, 4
+PROBES, MARGIN = 5, 0.1
+LINKS, EF_BUILD, EF_SEARCH, EF_GUEST, EF_UPPER, BATCH, WIDE = 12, 24, 20, 14, 8, 1024, 4
 
 
 # ---------------------------------------------------------------------------------------------- graph
@@ -199,9 +200,10 @@ class SmallWorld:
         return np.concatenate(out_i), np.concatenate(out_s)
 
 
-def levels_of(ids: np.ndarray, links: int = LINKS) -> np.ndarray:
+def levels_of(keys: np.ndarray, links: int = LINKS) -> np.ndarray:
     """Geometric levels from hashes of the keys, so that every run draws the same ones."""
-    u = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    h = np.array([xxhash.xxh64_intdigest(str(x)) for x in keys], np.uint64)
+    u = (h >> np.uint64(11)).astype(np.float64) / 2.0**53
     return np.minimum((-np.log(np.maximum(u, 1e-12)) / math.log(links)).astype(np.int64), 6)
 
 
@@ -254,92 +256,107 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, *,
     kind = df.schema[key].dataType.simpleString()
     spark = df.sparkSession
     every = cut_lineage(_unit(df, key, vector, dim))
-    # copies: one vector stands for all its keys; of its keys the k + 1 least are enough for anyone's neighbours
-    groups = every.groupBy("v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
-    groups = cut_lineage(groups.withColumn("id", F.xxhash64("rep")))
-    n = groups.count()
+    # copies: one key stands for all keys of a vector, told apart by a 128-bit hash that is small enough to shuffle
+    hashed = every.select("k", F.md5("v").alias("h"))
+    groups = hashed.groupBy("h").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
+    shared_vectors = cut_lineage(hashed.join(groups.where("n > 1").select("h", "rep"), "h").select("k", "rep"))
+    copies = not shared_vectors.isEmpty()
+    reps = every.join(shared_vectors.where("k <> rep").select("k"), "k", "left_anti") if copies else every
+    n = reps.count()
     if n == 0:
         return spark.createDataFrame([], f"{key} {kind}, neighbour {kind}, similarity double, rank int")
     cells = max(1, min(math.ceil(n / shard), sample // 24))
-    picked = groups.orderBy("id").limit(min(sample, max(64, 48 * cells))).select("v").toPandas()
+    picked = reps.orderBy(F.xxhash64("k"), "k").limit(min(sample, max(64, 48 * cells))).select("v").toPandas()
     c = centroids(_matrix(picked["v"], dim), min(cells, len(picked)))
     shared = spark.sparkContext.broadcast(c)  # at most sample / 24 rows
 
+    def near(pdf: pd.DataFrame, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        s = _matrix(pdf["v"], dim) @ shared.value.T
+        cell = _top(s, min(probes, s.shape[1]))
+        return cell, np.take_along_axis(s, cell, 1)
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(shared.value), np.int64)
+        for pdf in batches:
+            if len(pdf):
+                total += np.bincount(near(pdf, 1)[0][:, 0], minlength=len(total))
+        yield pd.DataFrame({"cell": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]})
+
+    # one number per cell; cells with too many vectors are dealt out to several shards and are searched in all of them
+    loads = reps.select("v").mapInPandas(load, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    parts = np.ones(len(c), np.int64)
+    for r in loads:
+        parts[r["cell"]] = math.ceil(r["n"] / MAX_SHARD)
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        probes = min(PROBES, len(c))
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = _matrix(pdf["v"], dim)
-            s = x @ c.T
-            near = np.argsort(-s, axis=1, kind="stable")[:, :probes] if len(c) <= 64 else _top(s, probes)
-            gap = np.take_along_axis(s, near[:, :1], 1) - np.take_along_axis(s, near, 1)
-            rows, cols = np.nonzero(gap <= MARGIN)
-            yield pd.DataFrame({"cell": near[rows, cols].astype(np.int32), "home": cols == 0, "id": pdf["id"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows]})
-
-    routed = groups.select("id", "v").mapInPandas(route, "cell int, home boolean, id bigint, v binary")
-    routed = cut_lineage(routed)
-    # one number per cell; cells with too many vectors are dealt out to several shards, and are searched in all of them
-    load = {r["cell"]: r["n"] for r in routed.where("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = {cell: math.ceil(m / MAX_SHARD) for cell, m in load.items() if m > MAX_SHARD}
-    if parts:
-        split = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("cell")], F.lit(1))
-        routed = routed.withColumn("shard", F.explode(F.sequence(F.lit(0), split - 1)))
-        routed = routed.withColumn("home", F.col("home") & (F.pmod("id", split) == F.col("shard")))
-    else:
-        routed = routed.withColumn("shard", F.lit(0))
+            cell, s = near(pdf, PROBES)
+            rows, cols = np.nonzero(s[:, :1] - s <= MARGIN)
+            cs = cell[rows, cols]
+            again = parts[cs]
+            first = np.cumsum(again) - again
+            part = np.arange(again.sum()) - np.repeat(first, again)
+            rows, cols, cs = np.repeat(rows, again), np.repeat(cols, again), np.repeat(cs, again)
+            own = (pdf["b"].to_numpy()[rows] % parts[cs]) == part
+            yield pd.DataFrame({"cell": cs.astype(np.int32), "part": part.astype(np.int32), "home": (cols == 0) & own, "k": pdf["k"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows]})
+
+    hashes = F.pmod(F.xxhash64("k"), F.lit(1 << 30)).cast("bigint").alias("b")
+    routed = reps.select("k", "v", hashes).mapInPandas(route, f"cell int, part int, home boolean, k {kind}, v binary")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "nid": [], "s": []}
-        own = pdf["home"].to_numpy()
-        ids = pdf["id"].to_numpy()
-        if own.any():
-            index = np.flatnonzero(own)
-            index = index[np.argsort(ids[index], kind="stable")]
-            x = _matrix(pdf["v"].to_numpy()[index], dim)
-            world = SmallWorld(x, levels_of(ids[index]))
-            hit, s = world.neighbours(max(ef, 2 * k))
-            other = np.flatnonzero(~own)
-            ids = np.concatenate((ids[index], ids[other]))
-            own_ids = ids[: len(index)]
-            if len(other):
-                hit2, s2 = world.query(_matrix(pdf["v"].to_numpy()[other], dim), max(ef, 2 * k))
-                hit, s = np.concatenate((hit, hit2)), np.concatenate((s, s2))
-            nid = np.where(hit >= 0, own_ids[hit], 0)
-            ok = (hit >= 0) & (nid != ids[:, None])
-            ok &= np.cumsum(ok, axis=1) <= k
-            rows, cols = np.nonzero(ok)
-            out = {"id": ids[rows], "nid": nid[rows, cols], "s": s[rows, cols].astype(np.float64)}
-        return pd.DataFrame(out)
-
-    found = routed.groupBy("cell", "shard").applyInPandas(search, "id bigint, nid bigint, s double")
-    w = Window.partitionBy("id").orderBy(F.desc("s"), "nid")
-    found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
-
-    heads = groups.select("id", "rep", "n")
-    a, b = heads.toDF("id", "rep", "n"), heads.toDF("nid", "nrep", "nn")
-    linked = cut_lineage(found.join(a, "id").join(b, "nid").select("rep", "n", "nrep", "nn", "s"))
-    copies = groups.where("n > 1").select("rep", "v")
-    members = every.join(copies, "v").select("rep", "k")
-    first = members.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("k")), 1, k + 1).alias("ks"))
-    return _expand(linked, members, first, key, k)
+        home = pdf["home"].to_numpy()
+        keys = pdf["k"].to_numpy()
+        index = np.flatnonzero(home)
+        if not len(index):
+            return pd.DataFrame({"k": [], "nk": [], "s": []})
+        index = index[np.argsort(keys[index], kind="stable")]
+        own = keys[index]
+        x = _matrix(pdf["v"].to_numpy()[index], dim)
+        world = SmallWorld(x, levels_of(own))
+        hit, s = world.neighbours(max(ef, 2 * k))
+        who = own
+        other = np.flatnonzero(~home)
+        if len(other):
+            guests = max(EF_GUEST, 2 * k)
+            hit2, s2 = world.query(_matrix(pdf["v"].to_numpy()[other], dim), guests)
+            m = min(hit.shape[1], hit2.shape[1])
+            hit, s, who = np.concatenate((hit[:, :m], hit2[:, :m])), np.concatenate((s[:, :m], s2[:, :m])), np.concatenate((own, keys[other]))
+        self_row = np.concatenate((np.arange(len(own)), np.full(len(other), -2)))
+        ok = (hit >= 0) & (hit != self_row[:, None])
+        ok &= np.cumsum(ok, axis=1) <= k
+        rows, cols = np.nonzero(ok)
+        return pd.DataFrame({"k": who[rows], "nk": own[hit[rows, cols]], "s": s[rows, cols].astype(np.float64)})
+
+    found = routed.groupBy("cell", "part").applyInPandas(search, f"k {kind}, nk {kind}, s double")
+    w = Window.partitionBy("k").orderBy(F.desc("s"), "nk")
+    found = found.where("k <> nk").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if not copies:
+        return found.select(F.col("k").alias(key), F.col("nk").alias("neighbour"), F.col("s").alias("similarity"), "rank")
+    return _with_copies(found, shared_vectors, key, k)
 
 
 def _top(s: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the ``m`` greatest values of each row, greatest first."""
+    if m >= s.shape[1]:
+        return np.argsort(-s, axis=1, kind="stable")
     near = np.argpartition(-s, m - 1, axis=1)[:, :m]
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
 
 
-def _expand(linked: DataFrame, members: DataFrame, first: DataFrame, key: str, k: int) -> DataFrame:
-    """Neighbours of all keys from those of distinct vectors."""
-    # neighbours: a vector with copies gives its least keys
-    far = linked.join(first.toDF("nrep", "ks"), "nrep", "left")
-    far = far.select("rep", F.explode(F.coalesce("ks", F.array("nrep"))).alias("neighbour"), "s")
-    own = first.select("rep", F.explode("ks").alias("neighbour"), F.lit(1.0).alias("s"))
-    every = far.unionByName(own)
-    # keys: a vector with copies answers for all of them
-    every = every.join(members.toDF("rep", "mk"), "rep", "left").select(F.coalesce("mk", "rep").alias(key), "neighbour", "s")
+def _with_copies(found: DataFrame, members: DataFrame, key: str, k: int) -> DataFrame:
+    """Neighbours of all keys from those of the keys that stand for a vector; ``members`` (k, rep) of shared vectors.
+
+    Of a vector's keys the k + 1 least are enough for anybody's neighbours.
+    """
+    w = Window.partitionBy("rep").orderBy("k")
+    least = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    first = least.groupBy("rep").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    far = found.join(first.withColumnRenamed("rep", "nk"), "nk", "left")
+    far = far.select("k", F.explode(F.coalesce("ks", F.array("nk"))).alias("neighbour"), "s")
+    every = far.unionByName(first.select(F.col("rep").alias("k"), F.explode("ks").alias("neighbour"), F.lit(1.0).alias("s")))
+    every = every.join(members.select(F.col("rep").alias("k"), F.col("k").alias("mk")), "k", "left").select(F.coalesce("mk", "k").alias(key), "neighbour", "s")
     w = Window.partitionBy(key).orderBy(F.desc("s"), "neighbour")
     ranked = every.where(F.col(key) != F.col("neighbour")).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).select(key, "neighbour", F.col("s").alias("similarity"), "rank")
