@@ -24,13 +24,14 @@ def split_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     Text before the first heading is left out; meta comments leave the content and belong to the next heading.
     Null texts give no rows.
     """
-    parts = docs.select(F.col(key), blocks(F.col(text)).alias("bs"))
     opens = F.lit(r"\A#{1,4}[^\S\n][^\n]")
+    parts = docs.select(F.col(key), blocks(F.col(text)).alias("bs"))
+    parts = parts.withColumn("shift", F.when(F.rlike(F.get("bs", F.lit(0)), opens), 1).otherwise(0))  # no block before the first heading
     numbered = F.transform("bs", lambda b, i: F.struct(i.alias("i"), b.alias("b"), F.when(i > 0, last_meta(F.get("bs", i - 1))).alias("meta")))
-    rows = parts.select(key, F.inline(F.filter(numbered, lambda x: F.rlike(x["b"], opens))))
+    rows = parts.select(key, "shift", F.inline(F.filter(numbered, lambda x: F.rlike(x["b"], opens))))
     content = strip(F.regexp_replace("b", META_LINE, ""))
     out = rows.select(
-        key, F.col("i"), F.length(F.regexp_extract("b", r"\A(#{1,4})[^\S\n]", 1)).alias("level"),
+        key, (F.col("i") + F.col("shift")).alias("i"), F.length(F.regexp_extract("b", r"\A(#{1,4})[^\S\n]", 1)).alias("level"),
         strip(F.regexp_extract("b", r"\A#{1,4}[^\S\n]+([^\n]*)", 1)).alias("heading"), content.alias("content"), "meta",
     )
     return out.where((F.col("content") != "") & (F.col("heading") != "")).withColumn("section_no", F.col("i").cast("int")).drop("i")

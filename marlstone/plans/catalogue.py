@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import scalar
+from . import documents, scalar
 
-MODULES = [scalar]
+MODULES = [scalar, documents]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
