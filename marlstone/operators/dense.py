@@ -49,11 +49,11 @@ def dense_topk(queries: DataFrame, points: DataFrame, qid: str, pid: str, vector
                 x, own = x[order], own[order]
                 s = np.floor((m @ x.T) * 1e6 + 0.5).astype(np.int64)
                 if skip_self:
-                    s[ids[:, None] == own[None, :]] = np.iinfo(np.int64).min
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    s[ids[:, None] == own[None, :]] = -(1 << 60)
+                best = np.argsort(-s, axis=1, kind="stable")[:, : k + int(skip_self)]
                 rows = np.repeat(np.arange(len(ids)), best.shape[1])
                 hit = s[rows, best.ravel()]
-                ok = hit > np.iinfo(np.int64).min
+                ok = hit > -(1 << 60)
                 yield pd.DataFrame({"q": ids[rows][ok], "p": own[best.ravel()][ok], "score": hit[ok]})
 
         found = p.mapInPandas(search, kinds)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, scalar
+from . import documents, retrieval, scalar, tables
 
-MODULES = [scalar, documents]
+MODULES = [scalar, documents, retrieval, tables]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
