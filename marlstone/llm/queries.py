@@ -120,4 +120,23 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_groups": p4_groups, "p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
-ORACLES: dict[str, str] = {}
+#: White space as the operators see it, for a dialect whose \s is ASCII only.
+_S = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+
+
+def _parts(x: str, pattern: str) -> str:
+    """All parts of a list of texts, cut at a pattern and trimmed."""
+    trim = f"regexp_replace(p, '^{_S}+|{_S}+$', '', 'g')"
+    return f"list_transform(flatten(list_transform({x}, lambda t: string_split_regex(t, '{pattern}'))), lambda p: {trim})"
+
+
+_FITS = "len(list_filter({0}, lambda p: length(p) // 4 > lim)) = 0"
+_P5 = f"""WITH c AS (SELECT chunk_id, max_tokens AS lim, min(content) AS content FROM all_chunks JOIN size_limits ON limit_name = 'chunk_split' AND length(content) // 4 > max_tokens GROUP BY ALL),
+    a AS (SELECT chunk_id, lim, {_parts('[content]', chr(92) + 'n' + _S + '*' + chr(92) + 'n')} AS k1 FROM c), b AS (SELECT *, {_parts('k1', chr(92) + 'n')} AS k2 FROM a),
+    d AS (SELECT *, list_transform(k2, lambda t: regexp_replace(t, '([.!?]){_S}+', chr(92) || '1' || chr(1), 'g')) AS marked FROM b), e AS (SELECT *, {_parts('marked', chr(92) + 'x01')} AS k3 FROM d), f AS (SELECT *, {_parts('k3', _S + '+')} AS k4 FROM e)
+    SELECT chunk_id, CASE WHEN {_FITS.format('k1')} THEN 'paragraph' WHEN {_FITS.format('k2')} THEN 'line' WHEN {_FITS.format('k3')} THEN 'sentence' WHEN {_FITS.format('k4')} THEN 'word' ELSE 'none' END AS boundary FROM f""".replace("chr(92) || '1'", "'" + chr(92) + "1'")
+_P4 = r"""WITH c AS (SELECT chunk_id, regexp_extract_all(lower(min(content)), '[\p{L}\p{N}]+') AS w FROM all_chunks WHERE chunk_type IN ('text', 'table') AND content IS NOT NULL GROUP BY chunk_id), s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM c WHERE len(w) >= 50),
+    n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id), p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+    SELECT x AS chunk_id_a, y AS chunk_id_b FROM p JOIN n u ON u.chunk_id = x JOIN n v ON v.chunk_id = y WHERE m >= 0.7 * (u.n + v.n - m)"""
+
+ORACLES: dict[str, str] = {"p4_found": _P4, "p5_found": _P5}
