@@ -178,8 +178,9 @@ def find_residue(df: DataFrame, key: str, text: str, min_coverage: float = 0.0)
 
     kind = df.schema[key].dataType.simpleString()
     hits = rows.mapInPandas(run, f"k {kind}, coverage double, kinds array<string>")
-    # a key with several texts counts once, with its greatest coverage
-    return hits.groupBy(F.col("k").alias(key)).agg(F.max("coverage").alias("coverage"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+    # a key with several texts counts once, with its greatest coverage; there are only a few kinds to collect
+    hits = hits.select("k", "coverage", F.explode("kinds").alias("kind")).groupBy("k")
+    return hits.agg(F.max("coverage").alias("coverage"), F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("k", key)
 
 
 def without_residue(df: DataFrame, key: str, text: str, min_coverage: float = 0.0) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 from .common import spread
-from .pairs import STOPWORDS
+from .pairs import STOPWORDS, WORD
 
 TRIGRAMS, BIGRAMS = 1 << 18, 1 << 16
 WINDOW, CACHE, LEAST_WORDS = 24, 160, 15
@@ -85,6 +85,8 @@ def body(text: str) -> str:
 def analyse(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """(classes, whether a word pair is new within the last CACHE words) of a text; None for short texts."""
     tokens = TOKEN.findall(body(text))
+    if not tokens:
+        return None
     memo = MEMO
     classes = list(map(memo.get, tokens))
     if None in classes:
@@ -94,9 +96,9 @@ def analyse(text: str) -> tuple[np.ndarray, np.ndarray] | None:
             if c is None:
                 memo[tokens[i]] = classes[i] = class_of(tokens[i])
     seq = np.array(classes, np.int64)
-    words = np.flatnonzero(~_IS_MARK[seq]) if len(seq) else seq
-    if len(words) < LEAST_WORDS:
-        return None
+    words = np.flatnonzero(~_IS_MARK[seq])
+    if len(words) < LEAST_WORDS and (len(seq) < 3 or len(WORD.findall(FRONT.sub("", text))) < LEAST_WORDS):
+        return None  # heading lines count as words of the text, though they are not judged
     last: dict[tuple[int, int], int] = {}
     hashes = [hash(tokens[i].lower()) for i in words.tolist()]
     new = np.ones(len(seq), bool)
