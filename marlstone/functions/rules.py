@@ -71,3 +71,18 @@ def classify_image(text: Column, size_bytes: Column) -> Column:
         .when(count_of(low, DIAGRAM_SIGNS) >= 2, "image_diagram")
         .otherwise("image_text")
     )
+
+
+def scan_result(text: Column, error: Column, size_bytes: Column, width: Column, height: Column) -> Column:
+    """struct<chunk_type, is_decorative, scan_method> of a scanned picture.
+
+    Tiny files are decorative without a scan; after an error the dimensions decide, and what is left is a placeholder.
+    """
+    made = lambda kind, decorative, method: F.struct(F.lit(kind).alias("chunk_type") if isinstance(kind, str) else kind.alias("chunk_type"), F.lit(decorative).alias("is_decorative") if isinstance(decorative, bool) else decorative.alias("is_decorative"), F.lit(method).alias("scan_method"))
+    kind = classify_image(text, size_bytes)
+    return (
+        F.when(size_bytes < 500, made("image_empty", True, "size"))
+        .when(error.isNotNull() & ((width < 10) | (height < 10)), made("image_empty", True, "dimensions"))
+        .when(error.isNotNull(), made("image_text", False, "fallback"))
+        .otherwise(made(kind, kind == "image_empty", "ocr"))
+    )

@@ -80,3 +80,35 @@ def strip_image_blocks(c: Column) -> Column:
 
 def strip_citation(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\n*📎.*\z", "")
+
+
+def clean_title(c: Column) -> Column:
+    """Page title without the editor's suffix and the mark of a copy."""
+    return strip(F.regexp_replace(F.regexp_replace(c, r"\s*-\s*Google Docs.*\z", ""), r"\ACopy of ", ""))
+
+
+def front_matter_block(title: Column, url: Column, parent: Column, scraped_at: Column) -> Column:
+    """Front matter of a document."""
+    return F.concat(F.lit("---\ndoc_title: "), title, F.lit("\nsource_url: "), url, F.lit("\nparent_doc: "), parent, F.lit("\nscraped_at: "), scraped_at, F.lit("\n---\n"))
+
+
+def meta_comment(doc: Column, section: Column, breadcrumb: Column, url: Column) -> Column:
+    """Meta comment that belongs to the next heading."""
+    return F.concat(F.lit("<!-- meta | doc:"), doc, F.lit(" | section:"), section, F.lit(" | breadcrumb:"), breadcrumb, F.lit(" | url:"), url, F.lit(" -->"))
+
+
+def heading_line(level: Column, title: Column, number: Column) -> Column:
+    """Heading with its number from the table of contents, unless the title has it."""
+    shown = F.when(number.isNull() | (number == "") | F.contains(title, number), title).otherwise(F.concat_ws(" ", number, title))
+    return F.concat(F.repeat(F.lit("#"), level), F.lit(" "), shown)
+
+
+def image_context(filename: Column, before: Column, after: Column) -> Column:
+    """Picture marker with what stands around it."""
+    return F.concat(F.lit("[IMAGE:"), filename, F.lit("]\nContext before: "), F.coalesce(before, F.lit("")), F.lit("\nContext after: "), F.coalesce(after, F.lit("")))
+
+
+def question_prompt(content: Column, section: Column, most_chars: int = 1500, least_chars: int = 50) -> Column:
+    """Prompt that asks a model for questions a text answers; null for very short texts."""
+    text = strip(content)
+    return F.when(F.length(text) >= least_chars, F.concat(F.lit("Write three questions that this text answers.\nSection: "), F.coalesce(section, F.lit("")), F.lit("\n\n"), F.substring(text, 1, most_chars)))

@@ -36,12 +36,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone-cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append((spark, path))
+    made(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made(spark: SparkSession, path: str) -> None:
+    """Note a file or folder of this process in the shared folder, for :func:`drop_cuts`."""
+    _MADE.append((spark, path))
+
+
 def drop_cuts() -> None:
-    """Delete what :func:`cut_lineage` wrote in this process (also runs at exit)."""
+    """Delete what this process wrote to the shared folder (also runs at exit)."""
     while _MADE:
         spark, path = _MADE.pop()
         try:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "nav", "header", "footer", "noscript"}
+#: Characters kept of the block around a link.
+AROUND = 200
 BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "td", "th", "tr", "table", "ul", "ol", "div", "section", "article", "main", "title", "br"}
 
 
@@ -106,7 +108,10 @@ def markdown(r: Reader) -> str:
 
 
 def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, markdown, links ARRAY<STRUCT<pos, href, text>>) of every page; a null page gives empty fields."""
+    """(key, title, markdown, links ARRAY<STRUCT<pos, href, text, around>>) of every page; a null page gives empty fields.
+
+    ``around`` is the beginning of the block that a link stands in.
+    """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,8 +120,33 @@ def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
             for k, h in zip(pdf["k"], pdf["h"]):
                 r = read(h or "")
                 title = next((b[2] for b in r.blocks if b[0] == "title"), "")
-                rows.append((k, title, markdown(r), [{"pos": i, "href": a, "text": t} for i, (a, t, _) in enumerate(r.links)]))
+                rows.append((k, title, markdown(r), [{"pos": i, "href": a, "text": t, "around": r.blocks[b][2][:AROUND] if b < len(r.blocks) else ""} for i, (a, t, b) in enumerate(r.links)]))
             yield pd.DataFrame(rows, columns=["k", "title", "markdown", "links"])
 
-    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, title string, markdown string, links array<struct<pos: int, href: string, text: string>>")
+    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, title string, markdown string, links array<struct<pos: int, href: string, text: string, around: string>>")
     return out.withColumnRenamed("k", key)
+
+
+def contents(links: Column) -> Column:
+    """array<struct<anchor, number, title, level>> of a page's table of contents: links to anchors inside the page.
+
+    The level is the number of dots plus one; of links to one anchor the last counts.
+    """
+    inner = F.filter(links, lambda x: x["href"].startswith("#h.") & (F.trim(x["text"]) != ""))
+    number = lambda x: F.regexp_extract(x["text"], r"^\s*(\d+(?:\.\d+)*)", 1)
+    level = lambda x: F.when(number(x) == "", 1).otherwise(F.size(F.split(number(x), r"\.")))
+    made = F.transform(inner, lambda x: F.struct(F.substring(x["href"], 2, 1 << 20).alias("anchor"), number(x).alias("number"), F.trim(x["text"]).alias("title"), level(x).alias("level")))
+    return F.filter(F.transform(made, lambda e, i: F.struct(e.alias("e"), F.exists(F.slice(made, i + 2, F.lit(1 << 20)), lambda y: y["anchor"] == e["anchor"]).alias("later"))), lambda z: ~z["later"])["e"]
+
+
+def document_links(pages: DataFrame, key: str, links: str = "links") -> DataFrame:
+    """(key, url, pos): canonical links of every page, each once, at its first place."""
+    from ..functions.url import canonical
+
+    rows = pages.select(key, F.explode(links).alias("x")).select(key, canonical(F.col("x.href")).alias("url"), F.col("x.pos").alias("pos"))
+    return rows.where("url <> ''").groupBy(key, "url").agg(F.min("pos").alias("pos"))
+
+
+def number_headings(headings: DataFrame, toc: DataFrame, anchor: str, key: str) -> DataFrame:
+    """Headings with the number of their anchor in the page's table of contents (left outer join); null without one."""
+    return headings.join(toc.select(key, F.col("anchor").alias(anchor), "number"), [key, anchor], "left")

@@ -43,3 +43,15 @@ def embedding_report(rows: DataFrame, vector: str, dim: int) -> DataFrame:
 def collisions(df: DataFrame, value: str, key: str) -> DataFrame:
     """(value, n): values that several keys share."""
     return df.groupBy(value).agg(F.count_distinct(key).alias("n")).where("n > 1")
+
+
+def collection_stats(points: DataFrame) -> DataFrame:
+    """One row of health: points, types, documents, and whether the collection is filled."""
+    n = F.count(F.lit(1))
+    return points.agg(n.alias("points"), F.count_distinct("chunk_type").alias("types"), F.count_distinct("doc_title").alias("documents"), F.when(n > 0, "ok").otherwise("empty").alias("status"))
+
+
+def question_run_stats(rows: DataFrame, questions: str) -> DataFrame:
+    """One row: records with and without questions, and all questions."""
+    has = F.coalesce(F.size(questions) > 0, F.lit(False))
+    return rows.agg(F.count_if(has).alias("generated"), F.count_if(~has).alias("failed"), F.coalesce(F.sum(F.when(has, F.size(questions))), F.lit(0)).alias("total_questions"))

@@ -76,6 +76,27 @@ def html_extract(spark, d):
     return out.select("url", "title", F.get("links", F.lit(0))["href"].alias("href"), F.get("links", F.lit(0))["text"].alias("link_text"), F.md5("markdown").alias("hash"))
 
 
+def page_contents(spark, d):
+    """Tables of contents of pages made of the headings of each document, read again by the parser."""
+    hs = t(spark, d, "all_chunks").where("chunk_type = 'section_index' AND content IS NOT NULL").groupBy("chunk_id").agg(F.min("content").alias("content"))
+    items = F.transform(F.regexp_extract_all("content", F.lit(r"(?m)^- (.*)$"), 1), lambda x, i: F.concat(F.lit("<li><a href='#h."), i.cast("string"), F.lit("'>"), x, F.lit("</a>")))
+    page = F.concat(F.lit("<ul>"), F.array_join(items, ""), F.lit("</ul>"))
+    out = html.extract(hs.select("chunk_id", page.alias("h")), "chunk_id", "h")
+    return out.select("chunk_id", F.inline(html.contents(F.col("links"))))
+
+
+def page_links(spark, d):
+    """Canonical links of pages made of each document's link records, each once."""
+    rows = t(spark, d, "reference_links").where("url IS NOT NULL AND source_url IS NOT NULL").select("source_url", "url").distinct()
+    a = F.concat(F.lit("<a href='"), "url", F.lit("/?x=1#f'>x</a> <a href='"), "url", F.lit("'>y</a>"))
+    pages = rows.groupBy("source_url").agg(F.array_join(F.array_sort(F.collect_list(a)), " ").alias("h"))
+    return html.document_links(html.extract(pages, "source_url", "h"), "source_url").select("source_url", "url")
+
+
+def collection_stats(spark, d):
+    return quality.collection_stats(t(spark, d, "all_chunks"))
+
+
 def history_window(spark, d):
     rows = talk.turns(t(spark, d, "eval_questions"), "id", "history")
     return talk.last_turns(rows, "id", 2)
@@ -144,7 +165,7 @@ def revenue_by_nation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        first_wins_dedup, upsert_last_wins, duplicate_count, type_counts_zero_filled, quality_report, embedding_report, reuse_or_todo, todo_by_type, link_contexts, crawl_levels, html_extract, history_window, last_user_message,
+        first_wins_dedup, upsert_last_wins, duplicate_count, type_counts_zero_filled, quality_report, embedding_report, reuse_or_todo, todo_by_type, link_contexts, crawl_levels, html_extract, page_contents, page_links, collection_stats, history_window, last_user_message,
         prompt_messages, sse_encode, sse_fold, eval_checks, eval_scores, event_tumbling, event_sessions, revenue_by_nation,
     )
 }
@@ -167,6 +188,9 @@ ORACLES = {
     "link_contexts": "WITH p AS (SELECT url, source_url, min(concat_ws('|', found_in_doc, section, source_url)) AS o FROM reference_links WHERE url IS NOT NULL AND source_url IS NOT NULL GROUP BY url, source_url), g AS (SELECT url, list(source_url ORDER BY o, source_url) AS l FROM p GROUP BY url) SELECT url, l[1] AS source_url, array_to_string(l[2:], ' ') AS also, len(l)::INT AS n FROM g",
     "crawl_levels": "WITH RECURSIVE r AS (SELECT DISTINCT title, parent FROM doc_registry WHERE title IS NOT NULL), e AS (SELECT * FROM r WHERE parent <> ''), n AS (SELECT title FROM r UNION SELECT parent FROM r WHERE parent IS NOT NULL), w AS (SELECT title AS node, 0 AS level FROM n WHERE title NOT IN (SELECT title FROM e) UNION SELECT e.title, w.level + 1 FROM w JOIN e ON e.parent = w.node WHERE w.level < 200) SELECT node, min(level) AS level FROM w GROUP BY node",
     "html_extract": "SELECT url, min(title) AS title, url AS href, coalesce(min(parent), '') AS link_text, md5('## ' || min(title) || chr(10) || chr(10) || replace('See ' || coalesce(min(parent), '') || ' for more now', '  ', ' ') || chr(10) || chr(10) || '- one') AS hash FROM doc_registry WHERE url IS NOT NULL GROUP BY url",
+    "page_contents": "WITH c AS (SELECT chunk_id, min(content) AS content FROM all_chunks WHERE chunk_type = 'section_index' AND content IS NOT NULL GROUP BY chunk_id), x AS (SELECT chunk_id, unnest(list_transform(regexp_extract_all(content, '(?m)^- (.*)$', 1), lambda x, i: {'x': trim(x), 'i': i - 1})) AS e FROM c) SELECT chunk_id, 'h.' || e.i AS anchor, regexp_extract(e.x, '^(\\d+(?:\\.\\d+)*)', 1) AS number, e.x AS title, CASE WHEN regexp_matches(e.x, '^\\d') THEN len(string_split(regexp_extract(e.x, '^(\\d+(?:\\.\\d+)*)', 1), '.')) ELSE 1 END::INT AS level FROM x WHERE e.x <> ''",
+    "page_links": "SELECT DISTINCT source_url, u AS url FROM (SELECT source_url, unnest([url || '/?x=1', url]) AS u FROM reference_links WHERE url IS NOT NULL AND source_url IS NOT NULL)",
+    "collection_stats": "SELECT count(*) AS points, count(DISTINCT chunk_type) AS types, count(DISTINCT doc_title) AS documents, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status FROM all_chunks",
     "history_window": "SELECT id, turn::INT AS turn, role, content FROM (" + _TURNS.replace("{0}", "SELECT id, history AS h FROM eval_questions") + ") WHERE coalesce(content, '') <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) <= 2",
     "last_user_message": "SELECT id, turn::INT AS turn, role, content, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM (" + _TURNS.replace("{0}", "SELECT id, list_concat(coalesce(history, []), [{'role': 'user', 'content': question}, {'role': 'assistant', 'content': topic}]) AS h FROM eval_questions") + ")",
     "prompt_messages": "WITH x AS (SELECT id, question, coalesce(history, []) AS hs FROM eval_questions), m AS (SELECT id, list_concat(list_concat([{'role': 'system', 'content': 'Answer from the context.'}], list_slice(hs, greatest(len(hs) - 5, 1), len(hs))), [{'role': 'user', 'content': 'Question: ' || question}]) AS h, array_to_string(list_transform(list_slice(hs, greatest(len(hs) - 1, 1), len(hs)), lambda z: z.role || ': ' || z.content), chr(10)) || chr(10) || 'Question: ' || question AS rewrite FROM x) SELECT id, (generate_subscripts(h, 1) - 1)::INT AS turn, unnest(h).role AS role, unnest(h).content AS content, rewrite FROM m",

@@ -103,3 +103,22 @@ def test_packing(spark):
 @pytest.mark.parametrize("t, n, kind", [("", 5000, "image_empty"), ("123456789", 5000, "image_empty"), ("hello wide world", 400, "image_empty"), ("fee per term", 5000, "image_table"), ("step by step process", 5000, "image_diagram"), ("hello world text", 5000, "image_text")])
 def test_image_class(spark, t, n, kind):
     assert one(spark, rules.classify_image(F.col("t"), F.lit(n)), t=t) == kind
+
+
+def test_emitters_and_titles(spark):
+    assert one(spark, text.clean_title(F.col("t")), t="Copy of Guide - Google Docs (x)") == "Guide"
+    assert one(spark, text.heading_line(F.lit(2), F.col("t"), F.lit("3.1")), t="Fees") == "## 3.1 Fees" and one(spark, text.heading_line(F.lit(1), F.col("t"), F.lit("3.1")), t="3.1 Fees") == "# 3.1 Fees"
+    line = one(spark, text.meta_comment(F.lit("D"), F.lit("S"), F.lit("D > S"), F.col("t")), t="https://x.example/a:b")
+    back = [one(spark, text.parse_meta(F.col("t"), k), t=line) for k in ("doc", "section", "breadcrumb", "url", "none")]
+    assert back == ["D", "S", "D > S", "https://x.example/a:b", None]
+    block = one(spark, text.front_matter_block(F.lit("T"), F.lit("U"), F.lit(""), F.col("t")), t="now")
+    assert [one(spark, text.front_matter(F.col("t"), k), t=block) for k in ("doc_title", "source_url", "parent_doc")] == ["T", "U", ""]
+    assert one(spark, text.question_prompt(F.col("t"), F.lit("S")), t="short") is None and one(spark, text.question_prompt(F.col("t"), F.lit("S")), t="z" * 2000).count("z") == 1500
+    assert one(spark, text.strip_citation(F.col("t")), t="answer\n\n📎 source") == "answer"
+
+
+def test_scan_result(spark):
+    r = lambda t, e, n, w: one(spark, rules.scan_result(F.col("t"), F.lit(e).cast("string"), F.lit(n), F.lit(w), F.lit(50)), t=t)
+    assert tuple(r("fee per term", None, 400, 50)) == ("image_empty", True, "size")
+    assert tuple(r(None, "failed", 900, 5)) == ("image_empty", True, "dimensions") and tuple(r(None, "failed", 900, 50)) == ("image_text", False, "fallback")
+    assert tuple(r("fee per term", None, 900, 50)) == ("image_table", False, "ocr") and tuple(r("", None, 900, 50)) == ("image_empty", True, "ocr")

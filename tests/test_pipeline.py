@@ -230,3 +230,15 @@ def test_no_reference_to_the_optional_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_contents_and_numbers(spark):
+    page = "<ul><li><a href='#h.a'>1.2 Fees</a><li><a href='#h.b'>Plain</a><li><a href='#h.a'>1.3 Fees again</a><li><a href='/x?y#z'>out</a></ul><p>near <a href='/x'>out2</a></p>"
+    out = html.extract(spark.createDataFrame([(1, page)], "k int, h string"), "k", "h")
+    toc = out.select("k", F.inline(html.contents(F.col("links"))))
+    assert {(r["anchor"], r["number"], r["title"], r["level"]) for r in toc.collect()} == {("h.b", "", "Plain", 1), ("h.a", "1.3", "1.3 Fees again", 2)}
+    hs = spark.createDataFrame([(1, "h.a", "Fees"), (1, "h.z", "None")], "k int, a string, title string")
+    assert {(r["title"], r["number"]) for r in html.number_headings(hs, toc, "a", "k").collect()} == {("Fees", "1.3"), ("None", None)}
+    assert out.select(F.element_at("links", -1)["around"]).first()[0] == "near out2"
+    assert {r["url"] for r in html.document_links(out, "k").collect()} == {"/x?y", "/x"}
+    assert quality.question_run_stats(spark.createDataFrame([(["a", "b"],), ([],), (None,)], "q array<string>"), "q").first().asDict() == {"generated": 1, "failed": 2, "total_questions": 2}
