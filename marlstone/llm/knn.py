@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ..lineage import cut_lineage
 
 SAMPLE, SHARD, MAX_SHARD = 100_000, 1500, 4096
-PROBES, MARGIN = 5, 0.12
-LINKS, EF_BUILD, EF_SEARCH, EF_GUEST, EF_UPPER, BATCH, WIDE = 12, 28, 24, 14, 8, 1024, 4
+PROBES, MARGIN = 6, 0.13
+LINKS, EF_BUILD, EF_SEARCH, EF_GUEST, EF_UPPER, BATCH, WIDE = 14, 28, 24, 16, 8, 1024, 4
 
 
 # ---------------------------------------------------------------------------------------------- graph
