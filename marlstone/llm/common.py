@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,22 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """Spread a scan over the cores when its files give fewer splits than cores.
 
-    Large inputs keep their scan splits, so no shuffle is added where it would hurt.
+    Large inputs keep their scan splits, so no shuffle is added where it would hurt.  Only for plans without a
+    shuffle: counting the partitions of others would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores * per_core, *keys)
-
-
-def one_per_key(df: DataFrame, key: str, *cols: str) -> DataFrame:
-    """One row per non-null key: ``min`` of the struct of ``cols``, so reloads and ties are decided alike everywhere.
-
-    Rows with a null key are dropped; a column that is null in some rows of a key takes a non-null value if there is one.
-    """
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(c) for c in cols])
-
-
-def code_points(c: Column) -> Column:
-    """Code points of a text (Spark's ``length`` counts code points)."""
-    return F.length(c)

@@ -29,7 +29,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
 from .residue import normalise
 
 COPY_RUN, COPY_SHARE, REFUSAL_WORDS = 3, 0.8, 60
@@ -206,7 +205,6 @@ def find_defects(df: DataFrame, key: str, prompts: str, text: str, kind: str) ->
     real = F.filter(prompts, lambda q: F.regexp_replace(q, r"[\s\p{Z}\p{Cf}]", "") != "")
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), real.alias("q"), F.col(text).alias("t"), F.col(kind).alias("c"))
     rows = rows.where(F.size("q") > 0).groupBy("k").agg(F.min("t").alias("t"), F.min("c").alias("c"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("q")))).alias("q"))
-    rows = spread(rows, "k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
