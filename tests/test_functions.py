@@ -75,7 +75,7 @@ def test_numeric_references(spark):
 
 
 def test_parse_questions(spark):
-    t = "Here are questions:\n1. What is the fee?\n2) Why?\n• How do I register now?\n- 2024 fee waiver rules?\n* Is OPPE mandatory at all?"
+    t = "Here are questions:\n1. What is the fee?\n2) Why?\n• How do I register now?\n- 2024 fee waiver rules?\n* Is the viva mandatory now?"
     assert one(spark, text.parse_questions(F.col("t")), t=t) == ["What is the fee?", "How do I register now?", "fee waiver rules?"]
 
 
