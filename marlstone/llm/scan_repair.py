@@ -273,7 +273,7 @@ def label_lines(df: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, i, m) for k, t in zip(pdf["k"], pdf["t"]) for i, s in enumerate(t.split("\n")) if len(m := mask(s)) > 5 and s.strip()[-1] not in ".!?"]
             yield pd.DataFrame(rows, columns=["k", "i", "m"])
 
-    pages = cut_lineage(pages)
+    pages = cut_lineage(pages.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "k"))  # pages are few bytes and much work
     lines = pages.mapInPandas(masked, f"k {kind}, i int, m string")
     shared = lines.groupBy("m").agg(F.count_distinct("k").alias("n")).where("n > 1")
     seen = lines.join(shared, "m").groupBy("k").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("i", F.least(F.col("n") - 1, F.lit(9)).cast("int"))))).alias("seen"))
