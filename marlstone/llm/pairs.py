@@ -6,7 +6,7 @@ Each defective pair gets exactly one defect, tested in this order:
 * ``empty``: nothing is left after labels such as "Answer:", punctuation and invisible characters.
 * ``copied``: the words of the response are traversed through the *suffix automaton* of the prompts; stretches of
   at least COPY_RUN words that occur in a prompt count as copied; defective when they make up COPY_SHARE of
-  the words, labels such as "You asked" aside.
+  the words, labels such as "You asked" aside, however long the response and in text and table chunks alike.
 * ``refusal``: an Aho-Corasick automaton of refusals in four languages matches the opening of a response of at
   most REFUSAL_WORDS words.
 * ``other_language``: stopword votes of the response and of the prompts name different languages.
@@ -178,16 +178,14 @@ def defect(prompts: list[str], text: str | None, kind: str = "text") -> str | No
     table_like = kind == "table"
     own = WORD.findall(core.lower())
     asked = [WORD.findall(q.lower()) for q in prompts]
-    if not table_like and len(own) <= 3 * sum(map(len, asked)) + 12:
-        body = core
-        parts = []
-        for piece in re.split(r"\n|(?<=[?:])\s", body):  # labels are no words of the answer
-            p = piece.strip()
-            while (m := LABELS.match(normalise(p))) and m.end() and p:
-                p = p[m.end() :].strip()
-            parts += WORD.findall(p.lower())
-        if parts and copied_share(asked, parts) >= COPY_SHARE:
-            return "copied"
+    parts = []
+    for piece in re.split(r"\n|(?<=[?:])\s", core):  # labels are no words of the answer
+        p = piece.strip()
+        while (m := LABELS.match(normalise(p))) and m.end() and p:
+            p = p[m.end() :].strip()
+        parts += WORD.findall(p.lower())
+    if parts and copied_share(asked, parts) >= COPY_SHARE:
+        return "copied"
     if len(own) <= REFUSAL_WORDS:
         first = plain[:160]
         if any(True for _ in refusal_automaton().iter(first)):

@@ -60,6 +60,13 @@ def test_pair_defects(text, want):
     assert pairs.defect(Q, text) == want
 
 
+def test_copies_of_any_length_and_kind():
+    again = "# H\n\n" + " ".join([Q[0]] * 200)
+    assert pairs.defect(Q[:1], "# H\n\n" + " ".join([Q[0]] * 5)) == "copied" and pairs.defect(Q, again) == "copied"
+    assert pairs.defect(Q, "# H\n\n" + Q[0], "table") == "copied" and pairs.defect(Q, again, "table") == "copied"
+    assert pairs.defect(Q, "# H\n\n" + Q[0] + " " + PROSE * 3) is None and pairs.defect(Q, "A | B\nA: 1, B: Exam", "table") is None
+
+
 def test_suffix_automaton_finds_all_stretches():
     rng = np.random.default_rng(3)
     for _ in range(200):
