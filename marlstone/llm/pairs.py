@@ -7,8 +7,10 @@ Each defective pair gets exactly one defect, tested in this order:
 * ``copied``: the words of the response are traversed through the *suffix automaton* of the prompts; stretches of
   at least COPY_RUN words that occur in a prompt count as copied; defective when they make up COPY_SHARE of
   the words, labels such as "You asked" aside, however long the response and in text and table chunks alike.
-* ``refusal``: an Aho-Corasick automaton of refusals in four languages matches the opening of a response of at
-  most REFUSAL_WORDS words.
+* ``refusal``: an Aho-Corasick automaton of refusals in four languages runs over the whole response.  Any match
+  counts in a response of at most REFUSAL_WORDS words.  A longer one refuses if no more words precede the matched
+  sentence, courtesies and sentences in the first person aside, than follow from it on; there a match that is
+  quoted or conditional ("if I am unable to") does not count, nor a role ("as an assistant") without a first person.
 * ``other_language``: stopword votes of the response and of the prompts name different languages.
 * ``truncated``: the last sentence has no end.  A stack of delimiters tells closing marks from open ones: an open
   bracket or a dash at the end, an ellipsis, or a missing full stop outside lists, tables and menus.
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .residue import normalise
+from .residue import JOIN, normalise
 
 COPY_RUN, COPY_SHARE, REFUSAL_WORDS = 3, 0.8, 60
 VOTES, VOTE_MARGIN = 3, 2.0
@@ -52,6 +54,12 @@ STOPWORDS = {
     "es": "el la los las y es una del para en que se por con al un no su más después antes cuándo cuánto hay quién puede son o como lo sin hasta desde debe cada sus este esta sobre cómo qué está".split(),
 }
 _VOTE = {w: [lang for lang, ws in STOPWORDS.items() if w in ws] for ws in STOPWORDS.values() for w in ws}
+#: Matches that name a role; in long responses they need a first person after them.
+ROLES = re.compile(r"(?:as an? (?:language model|ai|assistant)|als (?:sprachmodell|assistent)|en tant qu(?:'assistant|e modele)|como (?:asistente|modelo de lenguaje))$")
+FIRST_PERSON = re.compile(r"\b(?:i|me|my|ich|mir|je|j|yo|puedo|debo|tengo|estoy|lamento)\b")
+COURTESY = re.compile(r"\b(?:thanks?|sorry|glad|appreciate|apolog\w+|please|hello|hi|dear|welcome|dank\w*|bitte|hallo|liebe[rs]?|leider|entschuldig\w+|merci|bonjour|desole\w*|cher|chere|gracias|hola|estimad[oa]s?|siento|disculp\w+)\b")
+REPORTED = re.compile(r"(?:\S\s+[\"'“„«‘]|\b(?:if|when|whether|wenn|falls|si|quand|lorsque|cuando)\s)\s*$")
+SENTENCE = re.compile(r"\n|(?<=[.!?:])[\"'”»)]*\s")
 WORD = re.compile(r"[^\W_]+")
 INVISIBLE = re.compile("[​-‏⁠﻿­]")
 ITEM = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)]|[a-z][.)])\s+")
@@ -123,6 +131,28 @@ def refusal_automaton() -> ahocorasick.Automaton:
     return a
 
 
+def refuses(core: str, plain: str, n_words: int) -> bool:
+    """Whether the response, normalised to plain, declines to answer."""
+    lines = ""
+    for last, size in refusal_automaton().iter(plain):
+        if n_words <= REFUSAL_WORDS:
+            return True
+        start, end = last + 1 - size, last + 1
+        if not lines:  # the same places as in plain, with the line breaks
+            lines = "\n".join(filter(None, map(normalise, JOIN.sub("", core).split("\n"))))
+            lines = lines if len(lines) == len(plain) else plain
+        if start and plain[start - 1].isalnum() or REPORTED.search(plain, max(start - 20, 0), start):
+            continue
+        if ROLES.search(plain, start, end):
+            stop = SENTENCE.search(lines, end)
+            if plain.endswith("as an ai", start, end) and plain[end : end + 1].isalnum() or not FIRST_PERSON.search(plain, end, stop.start() if stop else len(plain)):
+                continue
+        *before, lead = SENTENCE.split(lines[:start])
+        answering = sum(len(WORD.findall(x)) for x in before if not FIRST_PERSON.search(x) and not COURTESY.search(x))
+        return answering <= len(WORD.findall(lead)) + len(WORD.findall(plain, start))  # later matches leave even less
+    return False
+
+
 def language(words: list[str]) -> str | None:
     """The language that the stopwords vote for, with a clear margin."""
     votes = dict.fromkeys(STOPWORDS, 0.0)
@@ -186,10 +216,8 @@ def defect(prompts: list[str], text: str | None, kind: str = "text") -> str | No
         parts += WORD.findall(p.lower())
     if parts and copied_share(asked, parts) >= COPY_SHARE:
         return "copied"
-    if len(own) <= REFUSAL_WORDS:
-        first = plain[:160]
-        if any(True for _ in refusal_automaton().iter(first)):
-            return "refusal"
+    if refuses(core, plain, len(own)):
+        return "refusal"
     answer, question = language(own), language([w for q in asked for w in q])
     if answer and question and answer != question:
         return "other_language"

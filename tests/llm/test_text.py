@@ -67,6 +67,23 @@ def test_copies_of_any_length_and_kind():
     assert pairs.defect(Q, "# H\n\n" + Q[0] + " " + PROSE * 3) is None and pairs.defect(Q, "A | B\nA: 1, B: Exam", "table") is None
 
 
+POLITE = "Thank you very much for your question about the viva and the credits of this course, which is of great importance to many learners who have written to this office during the last weeks. "
+WHY = "Rules differ from year to year and the office alone keeps the list. " * 8
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (POLITE + "Unfortunately, I cannot answer it.", "refusal"), ("I'm sorry, but I can't help with the exam. " + WHY, "refusal"), (POLITE * 3 + "Unfortunately,\nI cannot answer it. " + WHY, "refusal"), (POLITE * 3 + "I am un-\nable to say.", "refusal"),
+        ("As an AI, I do not discuss fees. " + WHY, "refusal"), ("Es tut mir leid, dazu kann ich keine Auskunft geben. " + WHY, "refusal"), ("Rules differ. I cannot answer this. " + WHY, "refusal"),
+        (PROSE * 2 + "If I am unable to come, the tutor gives a new date. " + WHY, None), ("The sheet serves as an aid to learners and I keep it. " + WHY, None), ("She works as an assistant in the lab. " + WHY, None),
+        ('Whoever says "I cannot answer this" loses no marks. ' + WHY, None), (PROSE * 8 + "I cannot answer more.", None),
+    ],
+)
+def test_refusals_in_the_whole_response(text, want):
+    assert pairs.defect(Q, "# H\n\n" + text) == want
+
+
 def test_suffix_automaton_finds_all_stretches():
     rng = np.random.default_rng(3)
     for _ in range(200):
