@@ -63,7 +63,7 @@ FILLER_OWN_WORDS = (
 KEYBOARD = "asdf asdfgh qwerty qwertz azerty foo bar baz xxx blah bla dummy test abc hjkl".split()
 FILLER_RUN, FILLER_OWN, KEYBOARD_RUN = 4, 2, 5
 
-TRIGGERS = ("{{", "${", "#{", "<%", "{%", "[[", "@@", "__", "%", "$", "here]", "here)", "here>", "<<", "[object", "[insert", "[enter", "xx/xx", "[your")
+TRIGGERS = ("{{", "${", "#{", "<%", "{%", "[[", "@@", "__", "%", "$", "here]", "here)", "here>", "<<", "[object", "[insert", "[enter", "[add", "xx/xx", "[your")
 NAME = r"[A-Za-z_][\w.\-]*(?:[ \n][\w.\-]+){0,4}"
 FIELDS = re.compile(
     rf"\{{\{{[{{#/&>]?\s*{NAME}\s*\}}\}}|[$#]\{{\s*{NAME}\s*\}}|<%[=\-]?\s*{NAME}[^%<>]{{0,60}}%>|\{{%-?\s*{NAME}[^%{{}}]{{0,60}}%\}}|\[\[\s*{NAME}\s*\]\]|@@\w+@@"

@@ -31,6 +31,17 @@ def test_residue_traps(text):
     assert residue.scan(text) is None
 
 
+@pytest.mark.parametrize(
+    "field",
+    [
+        "{{ name }}", "${name}", "#{name}", "<% name %>", "{% if name %}", "[[ name ]]", "@@NAME@@", "__NAME__", "%NAME%", "$NAME$", "<<NAME>>", "<name here>", "<name goes here>", "[INSERT NAME]", "[ENTER NAME]", "[ADD COURSE NAME]",
+        "[YOUR NAME]", "[COURSE NAME HERE]", "(enter a date here)", "(insert a date here)", "(add a date here)", "[object Object]", "XX/XX/XXXX",
+    ],
+)
+def test_every_field_calls_the_grammar(field):
+    assert residue.scan(field)[1] == ["template_field"]
+
+
 def test_residue_table(spark):
     rows = [("a", "{{ x }}", "k", 1), ("a", "{{ x }}", "k", 2), (None, "{{ x }}", "k", 1), ("b", None, "k", 1), ("c", "", "k", 1), ("d", PROSE * 2000 + "Bad Gateway", "k", 1), ("e", PROSE, "k", 1)]
     df = spark.createDataFrame(rows, "id string, text string, k string, t int")
