@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 
+#: Rounds after which the union of all levels is written as one table.
+CUT_EVERY = 50
+
 
 def link_contexts(links: DataFrame, url: str, found_at: str, order: str) -> DataFrame:
     """(url, found_at, also_found_in, n): the first place by ``order`` and the other places in order, each once."""
@@ -17,17 +22,21 @@ def link_contexts(links: DataFrame, url: str, found_at: str, order: str) -> Data
     )
 
 
-def crawl_levels(edges: DataFrame, roots: DataFrame, src: str, dst: str, max_rounds: int = 10_000) -> DataFrame:
+def crawl_levels(edges: DataFrame, roots: DataFrame, src: str, dst: str, max_rounds: int | None = None) -> DataFrame:
     """(node, level): nodes in breadth-first order from the roots; cycles end at visited nodes.
 
     Every round is one join and one anti-join; visited nodes are cut to the shared folder, so lineage stays short.
+    There is no depth limit unless ``max_rounds`` is given; meeting it with nodes left is an error.
     """
     frontier = cut_lineage(roots.select(F.col(roots.columns[0]).alias("node")).where("node IS NOT NULL").distinct().withColumn("level", F.lit(0)))
     visited = frontier
-    for level in range(1, max_rounds):
+    for level in count(1):
         step = frontier.join(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")), "node").select(F.col("next").alias("node")).where("node IS NOT NULL").distinct()
         frontier = cut_lineage(step.join(visited, "node", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
-            break
+            return visited
+        if level == max_rounds:
+            raise RuntimeError(f"nodes are left after {max_rounds} rounds")
         visited = visited.unionByName(frontier)
-    return visited
+        if level % CUT_EVERY == 0:
+            visited = cut_lineage(visited)

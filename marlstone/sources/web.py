@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,18 +56,23 @@ def fetch_pages(urls: DataFrame, url: str, fetch: Fetcher) -> DataFrame:
     return urls.select(F.col(url).alias("u")).mapInPandas(run, "url string, html string, reason string")
 
 
-def crawl(roots: DataFrame, fetch: Fetcher, links_of: Callable[[DataFrame], DataFrame], max_rounds: int = 100) -> DataFrame:
+def crawl(roots: DataFrame, fetch: Fetcher, links_of: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
     """(url, level, html, reason) of all pages reached: each round fetches the frontier once and cuts lineage.
 
     ``links_of`` gives (url) found on fetched pages.  Failed pages count as visited and are not fetched again.
+    There is no depth limit unless ``max_rounds`` is given; meeting it with pages left is an error.
     """
     from ..lineage import cut_lineage
+    from ..operators.links import CUT_EVERY
 
     frontier, visited = roots.select(F.col(roots.columns[0]).alias("url")).distinct(), None
-    for level in range(max_rounds):
+    for level in count():
         pages = cut_lineage(fetch_pages(frontier, "url", fetch).withColumn("level", F.lit(level)))
         visited = pages if visited is None else visited.unionByName(pages)
         frontier = cut_lineage(links_of(pages.where("reason IS NULL")).select("url").where("url IS NOT NULL AND url <> ''").distinct().join(visited.select("url"), "url", "left_anti"))
         if frontier.isEmpty():
-            break
-    return visited
+            return visited
+        if level + 1 == max_rounds:
+            raise RuntimeError(f"pages are left after {max_rounds} rounds")
+        if (level + 1) % CUT_EVERY == 0:
+            visited = cut_lineage(visited)

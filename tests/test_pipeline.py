@@ -167,6 +167,22 @@ def test_web_crawl_keeps_rejects_and_fetches_once(spark):
     assert web.judge(503, "") == "status 503"
 
 
+def test_crawls_have_no_depth_limit_and_end_loudly_at_a_given_one(spark, monkeypatch):
+    monkeypatch.setattr("marlstone.operators.links.CUT_EVERY", 2, raising=False)
+    links = lambda pages: pages.select("html").toDF("url")
+    fetch = lambda u: (200, str(int(u) + 1) if int(u) < 5 else "0")
+    start = spark.createDataFrame([("0",)], "u string")
+    e = spark.createDataFrame([(str(i), str((i + 1) % 6)) for i in range(6)], "s string, t string")
+    want = [(str(i), i) for i in range(6)]
+    assert sorted((r["url"], r["level"]) for r in web.crawl(start, fetch, links).collect()) == want
+    assert sorted((r["node"], r["level"]) for r in crawl_levels(e, start, "s", "t").collect()) == want
+    assert web.crawl(start, fetch, links, 6).count() == crawl_levels(e, start, "s", "t", 6).count() == 6
+    with pytest.raises(RuntimeError):
+        web.crawl(start, fetch, links, 5)
+    with pytest.raises(RuntimeError):
+        crawl_levels(e, start, "s", "t", 5)
+
+
 def test_files(spark, tmp_path):
     assert files.read_json_table(spark, str(tmp_path / "none.json"), "a int").count() == 0
     with pytest.raises(FileNotFoundError):
