@@ -10,8 +10,8 @@ Text is first cut where a space is followed by a non-space, which is always a pr
 vocabulary's pattern; ids of the resulting words are memoised per worker in a dictionary of bounded size.
 
 Defined cases: null text gives null ids, empty text an empty list, blank text is encoded like any other,
-repeated rows of one doc_id with the same text give one row, an empty table gives no rows.  Strings that look
-like special tokens are ordinary text.  Columns other than the two named ones are ignored.
+repeated rows of one doc_id with the same text give one row of ids (counts keep them), an empty table gives no
+rows.  Strings that look like special tokens are ordinary text.  Columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
@@ -218,9 +218,9 @@ def share_vocabulary(df: DataFrame, vocabulary: str = VOCABULARY):
 
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, ids ARRAY<INT>) of every row; see the module for the defined cases."""
+    """(key, ids ARRAY<INT>) of every distinct row; see the module for the defined cases."""
     shared = share_vocabulary(df, vocabulary)
-    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "k")
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "k").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared)

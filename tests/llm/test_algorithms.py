@@ -202,6 +202,12 @@ def test_encoding_table(spark, enc):
     assert encoding.encode_texts(df.where("1 = 0")).count() == 0
 
 
+def test_encoding_repeated_rows(spark, enc):
+    rows = [(1, "hello world", "x"), (1, "hello world", "y"), (1, "other", "x"), (2, None, "x"), (2, None, "y"), (3, "", "x"), (3, "", "x"), (4, "hello world", "x")]
+    got = sorted((r["doc_id"], r["ids"]) for r in encoding.encode_texts(spark.createDataFrame(rows, "doc_id long, text string, k string")).collect())
+    assert got == sorted([(1, enc.encode("hello world")), (1, enc.encode("other")), (2, None), (3, []), (4, enc.encode("hello world"))])
+
+
 def test_plan_uses_every_item_once():
     rng = random.Random(9)
     for _ in range(200):
