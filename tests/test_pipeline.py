@@ -167,6 +167,12 @@ def test_web_crawl_keeps_rejects_and_fetches_once(spark):
     assert web.judge(503, "") == "status 503"
 
 
+def test_type_counts_cover_all_rows_and_absent_types(spark):
+    rows = spark.createDataFrame([("text", None), ("text", "T"), ("table", "T")], "chunk_type string, doc_title string")
+    got = {r["chunk_type"]: r["n"] for r in quality.counts_by_type(rows).collect()}
+    assert got == {"text": 2, "table": 1, "image": 0, "reference_link": 0, "restricted_doc": 0, "section_index": 0}
+
+
 def test_crawls_have_no_depth_limit_and_end_loudly_at_a_given_one(spark, monkeypatch):
     monkeypatch.setattr("marlstone.operators.links.CUT_EVERY", 2, raising=False)
     links = lambda pages: pages.select("html").toDF("url")
