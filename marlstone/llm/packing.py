@@ -3,7 +3,7 @@
 *Hierarchical multi-length packing.*  Items are routed to tiers by size (long: over half the capacity, then
 a quarter, then the rest).  Tiers are packed from the longest down; the gap a container still has is filled
 from its own and then from shorter tiers, the best fitting size first, with a look-ahead for two sizes that
-fill it exactly.  Containers are put into step groups of equal count whose loads are balanced by dealing them
+fill it exactly.  The result names the tier.  Containers are put into step groups of equal count whose loads are balanced by dealing them
 in snake order of load.
 
 Sizes are whole numbers no larger than the capacity, so the *plan* is made from the histogram of sizes: at
@@ -35,44 +35,66 @@ from ..lineage import cut_lineage
 BUCKETS, GROUP = 64, 8
 
 
+def tier_of(size: int, capacity: int) -> int:
+    """0: over half the capacity, 1: over a quarter, 2: the rest."""
+    return 0 if 2 * size > capacity else 1 if 4 * size > capacity else 2
+
+
+def _best_fit(tiers: list[list[int]], left: dict[int, int], inside: dict[int, int], gap: int, first: int) -> tuple[int, int] | None:
+    """(tier, place) of the greatest size that fits the gap and has items left, from the own tier on to shorter ones."""
+    for t in range(first, len(tiers)):
+        i = bisect_right(tiers[t], gap) - 1
+        while i >= 0 and left[tiers[t][i]] <= inside.get(tiers[t][i], 0):
+            i -= 1
+        if i >= 0:
+            return t, i
+    return None
+
+
+def _exact_pair(tiers: list[list[int]], left: dict[int, int], inside: dict[int, int], gap: int, t: int, i: int) -> int | None:
+    """The greater of two sizes that fill the gap exactly, looked for from place i of tier t on to shorter ones."""
+    for own in (tiers[t][: i + 1], *tiers[t + 1 :]):
+        for a in reversed(own):
+            b = gap - a
+            if a < b:
+                return None
+            if b in left and left[a] >= inside.get(a, 0) + 1 + (a == b) and left[b] >= inside.get(b, 0) + 1 + (a == b):
+                return a
+    return None
+
+
 def plan_packing(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, list[tuple[int, int]]]], int]:
     """Steps (first container, containers, [(size, items per container)]) and the number of containers.
 
-    ``sizes``: items of each size from 1 to ``capacity``.  Uses every item exactly once.
+    ``sizes``: items of each size from 1 to ``capacity``.  Uses every item exactly once.  The tier of a step is
+    that of its first, greatest size.
     """
     left = {s: n for s, n in sizes.items() if n > 0 and s > 0}
-    order = sorted(left)  # sizes still available
+    tiers: list[list[int]] = [[], [], []]  # sizes still available, by tier
+    for s in sorted(left):
+        tiers[tier_of(s, capacity)].append(s)
     steps, base = [], 0
-    while order:
-        top = order[-1]  # the longest tier that still has items
-        inside: dict[int, int] = {top: 1}
-        gap = capacity - top
-        while gap > 0 and order and order[0] <= gap:
-            i = bisect_right(order, gap) - 1
-            while i >= 0 and left[order[i]] <= inside.get(order[i], 0):
-                i -= 1
-            if i < 0:
-                break
-            s = order[i]
-            if s < gap and gap - s < order[0]:  # nothing would fit beside it: look for two that fill the gap exactly
-                for j in range(i, max(-1, i - 64), -1):
-                    a, b = order[j], gap - order[j]
-                    if b < order[0] or a < b:
-                        break
-                    need = inside.get(a, 0) + 1 + (a == b)
-                    if b in left and left[a] >= need and left[b] >= inside.get(b, 0) + 1 + (a == b):
-                        s = a
-                        break
-            inside[s] = inside.get(s, 0) + 1
-            gap -= s
-        times = min(left[s] // m for s, m in inside.items())
-        steps.append((base, times, sorted(inside.items(), reverse=True)))
-        base += times
-        for s, m in inside.items():
-            left[s] -= m * times
-            if not left[s]:
-                del left[s]
-                del order[bisect_right(order, s) - 1]
+    for tier, own in enumerate(tiers):
+        while own:
+            inside: dict[int, int] = {own[-1]: 1}
+            gap = capacity - own[-1]
+            while gap > 0 and (found := _best_fit(tiers, left, inside, gap, tier)):
+                t, i = found
+                s = tiers[t][i]
+                least = next(x[0] for x in reversed(tiers) if x)
+                if s < gap and gap - s < least:  # nothing would fit beside it: look for two that fill the gap exactly
+                    s = _exact_pair(tiers, left, inside, gap, t, i) or s
+                inside[s] = inside.get(s, 0) + 1
+                gap -= s
+            times = min(left[s] // m for s, m in inside.items())
+            steps.append((base, times, sorted(inside.items(), reverse=True)))
+            base += times
+            for s, m in inside.items():
+                left[s] -= m * times
+                if not left[s]:
+                    del left[s]
+                    sizes_of = tiers[tier_of(s, capacity)]
+                    del sizes_of[bisect_right(sizes_of, s) - 1]
     return steps, base
 
 
@@ -100,9 +122,10 @@ def _loads(steps, total: int, group: int) -> tuple[np.ndarray, int]:
 
 
 def pack(sized: DataFrame, key: str, size: str, capacity: int, *, buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
-    """(key, piece BIGINT, size BIGINT, start BIGINT, container BIGINT, step_group BIGINT): one row per piece.
+    """(key, piece BIGINT, size BIGINT, start BIGINT, container BIGINT, step_group BIGINT, tier INT): one row per piece.
 
     ``start`` is the piece's offset inside its item; only items above ``capacity`` have more than one piece.
+    ``tier`` is that of the container: of its greatest size (see :func:`tier_of`).
     ``sized`` should be cheap to read twice (a written table); see the module for the defined cases.
     """
     if capacity < 1:
@@ -128,14 +151,15 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, *, buckets: int =
     tables = _tables(steps, capacity)
     place, groups = _loads(steps, total + full_total, group)
     bases = np.array([s[0] for s in steps], np.int64)
-    shared = items.sparkSession.sparkContext.broadcast((tables, offsets, place, bases))
+    tiers = np.array([tier_of(s[2][0][0], capacity) for s in steps] or [tier_of(0, capacity)], np.int32)
+    shared = items.sparkSession.sparkContext.broadcast((tables, offsets, place, bases, tiers))
 
     w = Window.partitionBy("bucket", "last").orderBy("k")
     ranked = items.withColumn("rank", F.row_number().over(w) - 1)
     ranked = ranked.withColumn("full_rank", F.coalesce(F.sum("full").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, offsets, place, bases = shared.value
+        tables, offsets, place, bases, tiers = shared.value
         for pdf in batches:
             n = len(pdf)
             last, full = pdf["last"].to_numpy(), pdf["full"].to_numpy()
@@ -151,19 +175,19 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, *, buckets: int =
                 container[at] = base[i] + (rank[at] - lo[i]) // m[i]
             run = np.maximum(np.searchsorted(bases, container, side="right") - 1, 0)
             spot = (place[run] + container - bases[run] if len(bases) else container) + full_total  # full containers bear the greatest load
-            out = [pd.DataFrame({"k": pdf["k"], "piece": full, "size": last, "start": full * capacity, "container": container + full_total, "spot": spot})]
+            out = [pd.DataFrame({"k": pdf["k"], "piece": full, "size": last, "start": full * capacity, "container": container + full_total, "spot": spot, "tier": tiers[run]})]
             if full.any():
                 own = np.repeat(np.arange(n), full)
                 piece = np.arange(len(own)) - np.repeat(np.cumsum(full) - full, full)
                 at = first[own] + piece
-                out.append(pd.DataFrame({"k": pdf["k"].to_numpy()[own], "piece": piece, "size": capacity, "start": piece * capacity, "container": at, "spot": at}))
+                out.append(pd.DataFrame({"k": pdf["k"].to_numpy()[own], "piece": piece, "size": capacity, "start": piece * capacity, "container": at, "spot": at, "tier": np.int32(0)}))
             res = pd.concat(out)
             row, col = res["spot"] // groups, res["spot"] % groups
             res["step_group"] = np.where(row % 2 == 0, col, groups - 1 - col)
-            yield res[["k", "piece", "size", "start", "container", "step_group"]]
+            yield res[["k", "piece", "size", "start", "container", "step_group", "tier"]]
 
     kind = sized.schema[key].dataType.simpleString()
-    packed = ranked.mapInPandas(assign, f"k {kind}, piece bigint, size bigint, start bigint, container bigint, step_group bigint")
+    packed = ranked.mapInPandas(assign, f"k {kind}, piece bigint, size bigint, start bigint, container bigint, step_group bigint, tier int")
     return packed.withColumnRenamed("k", key)
 
 

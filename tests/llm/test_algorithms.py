@@ -223,6 +223,26 @@ def test_plan_uses_every_item_once():
         assert total <= -(-sum(s * n for s, n in sizes.items()) // cap) * 2
 
 
+def test_plan_goes_from_tier_to_tier_and_finds_far_exact_pairs():
+    rng = random.Random(11)
+    for _ in range(200):
+        cap = rng.randint(4, 60)
+        steps, _ = packing.plan_packing({s: rng.randint(1, 40) for s in range(1, cap + 1) if rng.random() < 0.5}, cap)
+        order = [packing.tier_of(inside[0][0], cap) for _, _, inside in steps]
+        assert order == sorted(order)
+    # the pair 150 + 149 fills the gap of 299 but lies 100 sizes below the best single fit
+    sizes = {700: 1, 149: 1, 150: 1} | {s: 1 for s in range(190, 290)}
+    steps, _ = packing.plan_packing(sizes, 999)
+    assert [s for s, _ in steps[0][2]] == [700, 150, 149]
+
+
+def test_packing_names_the_tier(spark):
+    df = spark.createDataFrame([(1, 60), (2, 40), (3, 45), (4, 30), (5, 20), (6, 250), (7, 0)], "doc_id long, n long")
+    p = packing.pack(df, "doc_id", "n", 100).toPandas()
+    top = p.groupby("container")["size"].transform("max")
+    assert (p["tier"] == top.map(lambda s: packing.tier_of(s, 100))).all() and (p.groupby("container")["tier"].nunique() == 1).all() and set(p["tier"]) == {0, 1}
+
+
 def test_packing_table(spark):
     rng = random.Random(10)
     rows = [(i, rng.choice([7, 7, 7, rng.randint(0, 130)]), "x") for i in range(3000)] + [(3000, 1000, "x"), (3001, None, "x"), (None, 5, "x"), (5, 0, "x")]
