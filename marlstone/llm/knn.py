@@ -1,17 +1,23 @@
 """The k most similar vectors of every vector (problem 2): a navigable small-world graph per shard, results merged.
 
 1. Vectors are checked, brought to length 1 and kept once per distinct vector; copies come back at the end.
-2. *Shards.*  Spherical k-means centroids are fitted on a bounded sample (at most SAMPLE vectors, those of the
-   least hash) and cut the space into cells of about SHARD vectors.  Every vector is indexed in the cell of its
-   nearest centroid; a cell with more than MAX_SHARD vectors is dealt out to several shards.
+2. *Shards.*  Two levels of spherical k-means cut the space into cells of about ``shard`` vectors: the driver fits
+   the square root of the number of cells on a bounded sample, and one task per coarse cell fits its share of the
+   fine ones on the sample rows that fall there.  The sample is the rows whose hash is below a bound, SAMPLE rows
+   per cell.  At most CELLS fine centroids exist (64 MB at 64 numbers), which is all that is ever broadcast; beyond
+   ``shard`` x CELLS vectors the shards grow, which a graph search feels only by the logarithm.  Every vector is
+   indexed in the cell of its nearest centroid; a cell with more than ``max_shard`` vectors is dealt out to several
+   shards, which all its visitors search.
 3. *Graph.*  Each shard builds a hierarchical navigable small-world graph as flat neighbour arrays.  Insertion and
    search run in lock step over batches: all queries of a batch take their next hop together in NumPy, batches
    growing with the graph (never more than BATCH at a time).  Neighbours are chosen by the usual diversity rule, reverse
    links are pruned by the same rule.
-4. Each vector searches the shards of its own cell and of further cells whose centroid is nearly as near
-   (MARGIN, at most PROBES); the k best over all shards are kept.
+4. Each vector searches the shards of its own cell and visits further cells whose centroid is nearly as near
+   (``margin``, at most ``probes``).  What a search finds counts for both ends: a visitor becomes a candidate of the
+   vectors it meets, so a pair is found if either of the two comes to the other.  The k best over all shards are kept.
 
-Accuracy: recall against brute force on the test data is in the README (over 0.99).
+``exact`` sends every vector to every cell and compares by matrix products: the reference for measuring recall, of
+quadratic cost.  Accuracy on the test data is in the README (over 0.99).
 
 Defined cases: vectors that are null, of another length, not finite or all zero take no part, nor do null keys;
 repeated rows of a key count once (the least vector, should they differ); equal vectors are neighbours of
@@ -33,9 +39,14 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 
-SAMPLE, SHARD, MAX_SHARD = 100_000, 1500, 4096
-PROBES, MARGIN = 6, 0.13
-LINKS, EF_BUILD, EF_SEARCH, EF_GUEST, EF_UPPER, BATCH, WIDE = 14, 28, 24, 16, 8, 1024, 4
+#: Vectors of a shard, rows of the sample per cell, most cells, vectors beyond which a cell is dealt out.
+SHARD, SAMPLE, CELLS, MAX_SHARD = 3000, 48, 1 << 18, 1 << 16
+PROBES, MARGIN, COARSE = 6, 0.06, 8
+LINKS, EF_BUILD, EF_SEARCH, EF_GUEST, EF_UPPER, BATCH, WIDE = 14, 24, 16, 12, 4, 1024, 4
+#: A batch of insertions is at most this part of the graph, since its nodes do not see each other.
+GROWTH = 0.3
+#: Bits of the table of nodes that a batch has seen.
+SEEN = 1 << 24
 
 
 # ---------------------------------------------------------------------------------------------- graph
@@ -49,12 +60,13 @@ class SmallWorld:
         order = np.argsort(-levels, kind="stable")  # nodes of high levels first: they carry the search for the others
         self.levels = levels
         n = len(x)
+        self.batch = max(32, min(BATCH, SEEN // max(1, n)))
         self.top = int(levels.max()) if n else 0
         self.graph = [np.full((n, links * (2 if lv == 0 else 1)), -1, np.int32) for lv in range(self.top + 1)]
         self.entry = order[:1].astype(np.int32)
         at = 1
         while at < n:
-            size = min(max(1, at), BATCH, n - at)
+            size = min(max(1, int(GROWTH * at)), self.batch, n - at)
             self._insert(order[at : at + size])
             at += size
 
@@ -137,9 +149,8 @@ class SmallWorld:
             here = self.levels[nodes] >= lv
             ids, sims = self.search(q, lv, start, self.ef_build if here.any() else EF_UPPER)
             if here.any():
-                m = self.graph[lv].shape[1]
                 mine = nodes[here]
-                kept = self.choose(ids[here], sims[here], m)
+                kept = self.choose(ids[here], sims[here], self.links)  # the rest of the width is for links back
                 self.graph[lv][mine, : kept.shape[1]] = kept
                 self._link_back(lv, mine, kept)
             start = ids[:, :EF_UPPER]
@@ -181,16 +192,16 @@ class SmallWorld:
     def neighbours(self, ef: int = EF_SEARCH) -> tuple[np.ndarray, np.ndarray]:
         """As ``query`` for the nodes themselves: their searches start from their own links."""
         out = []
-        for at in range(0, len(self.x), BATCH):
-            own = np.arange(at, min(at + BATCH, len(self.x)))
+        for at in range(0, len(self.x), self.batch):
+            own = np.arange(at, min(at + self.batch, len(self.x)))
             out.append(self.search(self.x[own], 0, np.concatenate((own[:, None].astype(np.int32), self.graph[0][own]), 1), ef))
         return np.concatenate([i for i, _ in out]), np.concatenate([s for _, s in out])
 
     def query(self, q: np.ndarray, ef: int = EF_SEARCH) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities), best first."""
         out_i, out_s = [], []
-        for at in range(0, len(q), BATCH):
-            part = q[at : at + BATCH]
+        for at in range(0, len(q), self.batch):
+            part = q[at : at + self.batch]
             start = np.repeat(self.entry[None, :], len(part), 0)
             for lv in range(self.top, 0, -1):
                 start = self.search(part, lv, start, EF_UPPER)[0]
@@ -251,8 +262,95 @@ def _matrix(raw, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, *, shard: int = SHARD, sample: int = SAMPLE, ef: int = EF_SEARCH) -> DataFrame:
-    """(key, neighbour, similarity DOUBLE, rank INT): the ``k`` most similar of every usable vector."""
+class Cells:
+    """Two levels of centroids: ``coarse``, and ``fine`` whose rows of coarse cell i are first[i] to first[i + 1]."""
+
+    def __init__(self, coarse: np.ndarray, owner: np.ndarray, fine: np.ndarray) -> None:
+        order = np.argsort(owner, kind="stable")
+        self.coarse, self.fine = coarse, fine[order]
+        self.first = np.searchsorted(owner[order], np.arange(len(coarse) + 1))
+
+    def near(self, x: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, fine cell, place from 0): the nearest cells of every row within the margin of the nearest one, at most ``probes``.
+
+        Fine cells are looked for in the COARSE nearest coarse ones, in all of them if all cells are asked for.
+        """
+        c = _top(x @ self.coarse.T, len(self.coarse) if probes >= len(self.fine) else min(COARSE, len(self.coarse)))
+        rows, cells, sims = [], [], []
+        flat = c.ravel()
+        order = np.argsort(flat, kind="stable")
+        bounds = np.searchsorted(flat[order], np.arange(len(self.coarse) + 1))
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = int(self.first[i]), int(self.first[i + 1])
+            if a == b:
+                continue
+            own = order[bounds[i] : bounds[i + 1]] // c.shape[1]
+            s = x[own] @ self.fine[a:b].T
+            best = _top(s, min(probes, b - a))
+            rows.append(np.repeat(own, best.shape[1]))
+            cells.append((best + a).ravel())
+            sims.append(np.take_along_axis(s, best, 1).ravel())
+        row, cell, sim = np.concatenate(rows), np.concatenate(cells), np.concatenate(sims)
+        order = np.lexsort((cell, -sim, row))
+        row, cell, sim = row[order], cell[order], sim[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        size = np.diff(np.append(first, len(row)))
+        place = np.arange(len(row)) - np.repeat(first, size)
+        ok = (place < probes) & (np.repeat(sim[first], size) - sim <= margin)
+        return row[ok], cell[ok], place[ok]
+
+
+def fit_cells(reps: DataFrame, n: int, dim: int, shard: int, sample: int, most: int) -> Cells:
+    """Centroids of about n / ``shard`` cells, ``most`` at most, from a sample of ``sample`` rows per cell."""
+    cells = max(1, min(math.ceil(n / shard), most))
+    n_coarse = math.ceil(math.sqrt(cells))
+    h = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
+    part = lambda rows: reps if rows >= n else reps.where(h < int((1 << 40) * rows / n))
+    # two samples of a bounded number of rows: the driver sees the one for the coarse centroids
+    seen = _matrix(part(max(1024, sample * n_coarse)).select("k", "v").toPandas().sort_values("k")["v"], dim)
+    if not len(seen):
+        seen = _matrix(reps.limit(1).toPandas()["v"], dim)
+    coarse = centroids(seen, min(n_coarse, len(seen)))
+    shared = reps.sparkSession.sparkContext.broadcast(coarse)
+    share = max(1024, sample * cells) / cells
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"c": (_matrix(pdf["v"], dim) @ shared.value.T).argmax(1).astype(np.int32), "k": pdf["k"], "v": pdf["v"]})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf.sort_values("k")["v"], dim)
+        fine = centroids(x, min(len(x), max(1, round(len(x) / share))))
+        return pd.DataFrame({"c": np.int32(pdf["c"].iloc[0]), "v": [r.tobytes() for r in fine]})
+
+    kind = reps.schema["k"].dataType.simpleString()
+    fitted = part(max(1024, sample * cells)).select("k", "v").mapInPandas(assign, f"c int, k {kind}, v binary").groupBy("c").applyInPandas(fit, "c int, v binary").toPandas()
+    if not len(fitted):
+        return Cells(coarse, np.arange(len(coarse)), coarse)
+    fitted = fitted.sort_values(["c", "v"])
+    return Cells(coarse, fitted["c"].to_numpy(), _matrix(fitted["v"], dim))
+
+
+def _best(who: np.ndarray, whom: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every ``who``, each pair counted for both ends and once."""
+    a, b, s = np.concatenate((who, whom)), np.concatenate((whom, who)), np.concatenate((s, s))
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    if not len(a):
+        return a, b, s
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    a, b, s = a[new], b[new], s[new]
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    keep = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < k
+    return a[keep], b[keep], s[keep]
+
+
+def nearest(
+    df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, *, shard: int = SHARD, sample: int = SAMPLE, cells: int = CELLS, max_shard: int = MAX_SHARD,
+    probes: int = PROBES, margin: float = MARGIN, ef: int = EF_SEARCH, ef_guest: int = EF_GUEST, exact: bool = False,
+) -> DataFrame:
+    """(key, neighbour, similarity DOUBLE, rank INT): the ``k`` most similar of every usable vector; see the module for the parameters."""
     kind = df.schema[key].dataType.simpleString()
     spark = df.sparkSession
     every = cut_lineage(_unit(df, key, vector, dim))
@@ -265,42 +363,35 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, *,
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], f"{key} {kind}, neighbour {kind}, similarity double, rank int")
-    cells = max(1, min(math.ceil(n / shard), sample // 24))
-    picked = reps.orderBy(F.xxhash64("k"), "k").limit(min(sample, max(64, 48 * cells))).select("v").toPandas()
-    c = centroids(_matrix(picked["v"], dim), min(cells, len(picked)))
-    shared = spark.sparkContext.broadcast(c)  # at most sample / 24 rows
-
-    def near(pdf: pd.DataFrame, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        s = _matrix(pdf["v"], dim) @ shared.value.T
-        cell = _top(s, min(probes, s.shape[1]))
-        return cell, np.take_along_axis(s, cell, 1)
+    fitted = fit_cells(reps, n, dim, shard, sample, cells)
+    shared = spark.sparkContext.broadcast(fitted)  # at most CELLS rows
+    n_cells = len(fitted.fine)
+    most = n_cells if exact else probes
+    reach = 4.0 if exact else margin
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(shared.value), np.int64)
+        total = np.zeros(n_cells, np.int64)
         for pdf in batches:
             if len(pdf):
-                total += np.bincount(near(pdf, 1)[0][:, 0], minlength=len(total))
+                total += np.bincount(shared.value.near(_matrix(pdf["v"], dim), 1, 0.0)[1], minlength=n_cells)
         yield pd.DataFrame({"cell": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]})
 
     # one number per cell; cells with too many vectors are dealt out to several shards and are searched in all of them
-    loads = reps.select("v").mapInPandas(load, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    parts = np.ones(len(c), np.int64)
-    for r in loads:
-        parts[r["cell"]] = math.ceil(r["n"] / MAX_SHARD)
+    parts = np.ones(n_cells, np.int64)
+    for r in reps.select("v").mapInPandas(load, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        parts[r["cell"]] = math.ceil(r["n"] / max_shard)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            cell, s = near(pdf, PROBES)
-            rows, cols = np.nonzero(s[:, :1] - s <= MARGIN)
-            cs = cell[rows, cols]
+            rows, cs, place = shared.value.near(_matrix(pdf["v"], dim), most, reach)
             again = parts[cs]
             first = np.cumsum(again) - again
             part = np.arange(again.sum()) - np.repeat(first, again)
-            rows, cols, cs = np.repeat(rows, again), np.repeat(cols, again), np.repeat(cs, again)
+            rows, place, cs = np.repeat(rows, again), np.repeat(place, again), np.repeat(cs, again)
             own = (pdf["b"].to_numpy()[rows] % parts[cs]) == part
-            yield pd.DataFrame({"cell": cs.astype(np.int32), "part": part.astype(np.int32), "home": (cols == 0) & own, "k": pdf["k"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows]})
+            yield pd.DataFrame({"cell": cs.astype(np.int32), "part": part.astype(np.int32), "home": (place == 0) & own, "k": pdf["k"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows]})
 
     hashes = F.pmod(F.xxhash64("k"), F.lit(1 << 30)).cast("bigint").alias("b")
     routed = reps.select("k", "v", hashes).mapInPandas(route, f"cell int, part int, home boolean, k {kind}, v binary")
@@ -308,35 +399,41 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, *,
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy()
         keys = pdf["k"].to_numpy()
-        index = np.flatnonzero(home)
+        index, other = np.flatnonzero(home), np.flatnonzero(~home)
         if not len(index):
             return pd.DataFrame({"k": [], "nk": [], "s": []})
-        index = index[np.argsort(keys[index], kind="stable")]
-        own = keys[index]
-        x = _matrix(pdf["v"].to_numpy()[index], dim)
-        world = SmallWorld(x, levels_of(own))
-        hit, s = world.neighbours(max(ef, 2 * k))
-        who = own
-        other = np.flatnonzero(~home)
-        if len(other):
-            guests = max(EF_GUEST, 2 * k)
-            hit2, s2 = world.query(_matrix(pdf["v"].to_numpy()[other], dim), guests)
-            m = min(hit.shape[1], hit2.shape[1])
-            hit, s, who = np.concatenate((hit[:, :m], hit2[:, :m])), np.concatenate((s[:, :m], s2[:, :m])), np.concatenate((own, keys[other]))
-        self_row = np.concatenate((np.arange(len(own)), np.full(len(other), -2)))
-        ok = (hit >= 0) & (hit != self_row[:, None])
-        ok &= np.cumsum(ok, axis=1) <= k
-        rows, cols = np.nonzero(ok)
-        return pd.DataFrame({"k": who[rows], "nk": own[hit[rows, cols]], "s": s[rows, cols].astype(np.float64)})
+        index, other = index[np.argsort(keys[index], kind="stable")], other[np.argsort(keys[other], kind="stable")]
+        x, visitors = _matrix(pdf["v"].to_numpy()[index], dim), _matrix(pdf["v"].to_numpy()[other], dim)
+        if exact:
+            found = _all(x, x, k + 1), _all(x, visitors, k)
+        else:
+            world = SmallWorld(x, levels_of(keys[index]))
+            found = world.neighbours(max(ef, 2 * k)), world.query(visitors, max(ef_guest, 2 * k)) if len(other) else (np.zeros((0, 1), np.int32), np.zeros((0, 1), np.float32))
+        who = np.concatenate([np.repeat(np.arange(len(hit)) + at, hit.shape[1]) for at, (hit, _) in zip((0, len(index)), found)])
+        whom, s = np.concatenate([hit.ravel() for hit, _ in found]), np.concatenate([s.ravel() for _, s in found])
+        ok = (whom >= 0) & (whom != who)
+        who, whom, s = _best(who[ok], whom[ok].astype(np.int64), s[ok], k)
+        names = np.concatenate((keys[index], keys[other]))
+        return pd.DataFrame({"k": names[who], "nk": names[whom], "s": s.astype(np.float64)})
 
     found = routed.groupBy("cell", "part").applyInPandas(search, f"k {kind}, nk {kind}, s double")
+    # a pair may be met in several shards; one exchange serves the grouping and the window
+    found = found.where("k <> nk").repartition("k").groupBy("k", "nk").agg(F.max("s").alias("s"))
     w = Window.partitionBy("k").orderBy(F.desc("s"), "nk")
-    found = found.where("k <> nk").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if not copies:
         return found.select(F.col("k").alias(key), F.col("nk").alias("neighbour"), F.col("s").alias("similarity"), "rank")
     return _with_copies(found, shared_vectors, key, k)
 
 
+def _all(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, similarities) of the k best rows of ``x`` by comparing with all."""
+    out = [(i, np.take_along_axis(s, i, 1)) for at in range(0, len(q), 2048) for s in (q[at : at + 2048] @ x.T,) for i in (_top(s, min(k, len(x))),)]
+    if not out:
+        return np.zeros((0, 1), np.int64), np.zeros((0, 1), np.float32)
+    return np.concatenate([i for i, _ in out]), np.concatenate([s for _, s in out])
+
+
 def _top(s: np.ndarray, m: int) -> np.ndarray:
     """Columns of the ``m`` greatest values of each row, greatest first."""
     if m >= s.shape[1]:

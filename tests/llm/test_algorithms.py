@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from marlstone.llm import encoding, knn, neardup, packing, splitting
@@ -35,12 +36,37 @@ def test_nearest_copies_ties_and_small_tables(spark):
     assert knn.nearest(df.where("id = 'b'"), "id", "v", 3, 2).count() == 0
 
 
-def test_hot_cells_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(knn, "MAX_SHARD", 100)
+def test_exact_mode_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["id"], r["neighbour"]) for r in knn.nearest(df, "id", "v", 5, 8, shard=50, sample=8, exact=True).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert got == {(i, int(j)) for i, r in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in r}
+
+
+def test_cells_and_visits_stay_in_proportion(spark):
+    """Ten times the vectors: ten times the cells of the same size, and as many visits per vector, on a small sample."""
+    rng = np.random.default_rng(6)
+    centres, seen = rng.normal(size=(40, 8)), {}
+    for n in (1000, 10000):
+        x = np.repeat(centres, n // 40, 0) + 0.5 * rng.normal(size=(n, 8))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        reps = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "v": [r.tobytes() for r in x]}))
+        cells = knn.fit_cells(reps, n, 8, 50, 10, 1 << 18)
+        row, cell, place = cells.near(x, 6, 0.03)
+        size = np.bincount(cell[place == 0], minlength=len(cells.fine))
+        seen[n] = len(cells.fine), np.average(size, weights=size), len(row) / n
+    assert 6 < seen[10000][0] / seen[1000][0] < 14 and seen[10000][1] < 250 and seen[10000][2] < 1.3 * seen[1000][2] + 0.5
+
+
+def test_hot_cells_are_dealt_out(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(600, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    got = {(r["id"], r["neighbour"]) for r in knn.nearest(df, "id", "v", 5, 8, shard=1000).collect()}
+    got = {(r["id"], r["neighbour"]) for r in knn.nearest(df, "id", "v", 5, 8, shard=1000, max_shard=100).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
