@@ -9,8 +9,13 @@
 2. *Words broken over lines.*  A body line that ends with a letter and a hyphen, and whose next body line starts
    with a small letter, is broken noise unless the corpus writes the word with its hyphen more often than without.
 3. *Misread words.*  Each distinct word is turned into the words it may stand for (glyph and letter confusions);
-   it is misread if one of those is at least RATIO times as frequent.  Both sides are tables and meet in a join; no
-   vocabulary is broadcast.
+   it is misread if one of those is at least RATIO times as frequent.  Both sides are tables of distinct words and meet
+   in a join; no vocabulary is broadcast.  The model of step 1 says which lines hold words at all, the table which of
+   them are misread.
+
+Words are counted inside each Arrow batch before they are shuffled.  To find their places again, the misread words are
+put into a bit table of at most FILTER_BITS bits, and only words that it may hold leave the pages for the exact join;
+common words never do.
 
 The repaired text joins the body lines of a paragraph, closes broken words, replaces misread ones and leaves
 headers and page numbers out.
@@ -25,19 +30,24 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
+from .common import spread
 
 BODY, HEADER, PAGE_NO, HEADING, TABLE, BREAK = range(6)
 LABELS = ["body", "header", "page_no", "heading", "table", "break"]
 ROUNDS, SMOOTHING = 2, 0.5
 RATIO, LEAST = 6, 4
+FILTER_BITS = 1 << 27
 
 GLYPHS = {"0": "o", "1": "l", "|": "l", "5": "s", "9": "g", "6": "b", "(": "c", "†": "t", "ø": "o", "€": "e", "$": "s", "¢": "c", "@": "a", "8": "b", "!": "l", "4": "a", "3": "e", "ł": "l", "¡": "i", "ß": "b"}
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ﬅ": "st", "œ": "oe", "æ": "ae"}
@@ -52,6 +62,8 @@ SPACED = re.compile(r"^(?:\S ){3,}\S?|(?:^|\s)(?:\S ){4,}\S(?:\s|$)")
 
 def fold(text: str) -> str:
     """Small letters without accents, ligatures opened."""
+    if text.isascii():
+        return text.lower()
     for a, b in LIGATURES.items():
         if a in text:
             text = text.replace(a, b)
@@ -107,13 +119,13 @@ STATES = len(LABELS)
 WIDTH = int(OFFSETS[-1])
 
 
-def first_labels(x: np.ndarray) -> np.ndarray:
-    """The rules that the estimation starts from."""
-    n = len(x)
-    y = np.full(n, BODY)
-    if n == 0:
+def first_labels(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rules that the estimation starts from; the pages' lines stand one after another, ``sizes`` lines each."""
+    y = np.full(len(x), BODY)
+    if not len(x):
         return y
-    several = (x[:, 0] != 5).sum() > 1
+    starts = np.cumsum(sizes) - sizes
+    several = np.repeat(np.add.reduceat((x[:, 0] != 5).astype(np.int64), starts) > 1, sizes)
     header = (x[:, 9] == 0) & (x[:, 2] != 1) & ((x[:, 4] >= 3) | ((x[:, 4] >= 1) & (x[:, 5] > 0) & (x[:, 7] > 0)))
     y[header & several & (x[:, 1] == 0)] = HEADER
     y[(x[:, 9] == 1) & (x[:, 2] == 0)] = HEADING
@@ -123,42 +135,60 @@ def first_labels(x: np.ndarray) -> np.ndarray:
     return y
 
 
-def viterbi(x: np.ndarray, model: np.ndarray | None) -> np.ndarray:
-    """Best labels of a page; the first rules without a model."""
-    if model is None or len(x) == 0:
-        return first_labels(x)
-    emit = model[:, STATES + 1 :]
-    score = np.stack([emit[:, OFFSETS[f] + x[:, f]] for f in range(len(SIZES))]).sum(axis=0)  # states x lines
+def viterbi(x: np.ndarray, sizes: np.ndarray, model: np.ndarray | None) -> np.ndarray:
+    """Best labels of the lines of several pages, line by line for all pages together; the first rules without a model."""
+    if model is None or not len(x):
+        return first_labels(x, sizes)
+    emit = model[:, STATES + 1 :].T
+    score = np.zeros((len(x), STATES))
+    for f in range(len(SIZES)):
+        score += emit[OFFSETS[f] + x[:, f]]
+    starts = np.cumsum(sizes) - sizes
     blank = x[:, 0] == 5
-    score[BREAK, ~blank] = -1e9
-    score[:, blank] = -1e9
-    score[BREAK, blank] = 0.0
+    score[~blank, BREAK] = -1e9
+    score[blank] = -1e9
+    score[blank, BREAK] = 0.0
     plain = (x[:, 4] <= 2) & ((x[:, 5] == 0) | (x[:, 5] == 3))
-    score[HEADER, (x[:, 11] == 1) | (x[:, 12] == 1) & plain] = -1e9  # tables, diagrams and plain lines that go on in the next are none
-    if (~blank).sum() <= 1:
-        score[[HEADER, PAGE_NO], :] = -1e9
+    score[(x[:, 11] == 1) | (x[:, 12] == 1) & plain, HEADER] = -1e9  # tables, diagrams and plain lines that go on in the next are none
+    single = np.repeat(np.add.reduceat((~blank).astype(np.int64), starts) <= 1, sizes)
+    score[np.ix_(single, [HEADER, PAGE_NO])] = -1e9
     step = model[:, 1 : STATES + 1]
-    best = model[:, 0] + score[:, 0]
-    back = np.zeros((len(x), STATES), np.int64)
-    for i in range(1, len(x)):
-        total = best[:, None] + step
-        back[i] = total.argmax(axis=0)
-        best = total.max(axis=0) + score[:, i]
+    order = np.argsort(-sizes, kind="stable")  # at every line the pages that are long enough stand first
+    first, length = starts[order], sizes[order]
+    best = model[:, 0] + score[first]
+    back = np.zeros((len(x), STATES), np.int8)
+    for i in range(1, int(length[0])):
+        live = int(np.searchsorted(-length, -i, side="left"))
+        total = best[:live, :, None] + step
+        back[first[:live] + i] = total.argmax(axis=1)
+        best[:live] = total.max(axis=1) + score[first[:live] + i]
     y = np.zeros(len(x), np.int64)
-    y[-1] = best.argmax()
-    for i in range(len(x) - 1, 0, -1):
-        y[i - 1] = back[i, y[i]]
+    y[first + length - 1] = best.argmax(axis=1)
+    for i in range(int(length[0]) - 1, 0, -1):
+        at = first[: int(np.searchsorted(-length, -i, side="left"))] + i
+        y[at - 1] = back[at, y[at]]
     return y
 
 
-def tally(x: np.ndarray, y: np.ndarray, into: np.ndarray) -> None:
-    """Add a page's start, transition and emission counts."""
+def tally(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, into: np.ndarray) -> None:
+    """Add the start, transition and emission counts of several pages."""
     if not len(y):
         return
-    into[y[0], 0] += 1
-    np.add.at(into, (y[:-1], 1 + y[1:]), 1)
-    for f in range(len(SIZES)):
-        np.add.at(into, (y, STATES + 1 + OFFSETS[f] + x[:, f]), 1)
+    starts = np.cumsum(sizes) - sizes
+    into[:, 0] += np.bincount(y[starts], minlength=STATES)
+    later = np.ones(len(y), bool)
+    later[starts] = False
+    at = np.flatnonzero(later)
+    into[:, 1 : STATES + 1] += np.bincount(y[at - 1] * STATES + y[at], minlength=STATES * STATES).reshape(STATES, STATES)
+    for f, n in enumerate(SIZES):
+        part = slice(STATES + 1 + OFFSETS[f], STATES + 1 + OFFSETS[f + 1])
+        into[:, part] += np.bincount(y * n + x[:, f], minlength=STATES * n).reshape(STATES, n)
+
+
+def unpack(raw: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all lines, lines of every page) of packed pages."""
+    sizes = np.array([len(r) // len(SIZES) for r in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.int8).astype(np.int64).reshape(-1, len(SIZES)), sizes
 
 
 def estimate(counts: np.ndarray) -> np.ndarray:
@@ -179,6 +209,7 @@ EDGE = ".,;:!?\"'“”„…»«’"
 NOT_A_WORD = re.compile(r"[\[\]{}/\\=<>@#%&+*~^_]|://|^\W*\d[\d.,:\-/]*\W*$|^[A-Z]{2,}-?\d")
 
 
+@lru_cache(maxsize=1 << 18)
 def core(token: str) -> str | None:
     """The word in a token, in the form words are counted in; None if the token is no word."""
     w = token.strip(EDGE)
@@ -266,15 +297,15 @@ def words_of(lines: list[str], labels: np.ndarray) -> list[tuple[int, int, int,
 def label_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, lines ARRAY<STRING>, labels ARRAY<INT>) of every page, by the model estimated on all pages."""
     kind = df.schema[key].dataType.simpleString()
-    pages = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\S")).groupBy(F.col(key).alias("k")).agg(F.min(text).alias("t"))
+    pages = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    pages = cut_lineage(spread(pages, "k").groupBy("k").agg(F.min("t").alias("t")))
 
     def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, m) for k, t in zip(pdf["k"], pdf["t"]) for i, s in enumerate(t.split("\n")) if len(m := mask(s)) > 5 and s.strip()[-1] not in ".!?"]
+            rows = [(k, i, xxhash.xxh64_intdigest(m) - (1 << 63)) for k, t in zip(pdf["k"], pdf["t"]) for i, s in enumerate(t.split("\n")) if (e := s.strip()) and e[-1] not in ".!?" and len(m := mask(s)) > 5]
             yield pd.DataFrame(rows, columns=["k", "i", "m"])
 
-    pages = cut_lineage(pages.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "k"))  # pages are few bytes and much work
-    lines = pages.mapInPandas(masked, f"k {kind}, i int, m string")
+    lines = pages.mapInPandas(masked, f"k {kind}, i int, m bigint")
     shared = lines.groupBy("m").agg(F.count_distinct("k").alias("n")).where("n > 1")
     seen = lines.join(shared, "m").groupBy("k").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("i", F.least(F.col("n") - 1, F.lit(9)).cast("int"))))).alias("seen"))
     pages = pages.join(seen, "k", "left")
@@ -296,9 +327,9 @@ def label_lines(df: DataFrame, key: str, text: str) -> DataFrame:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((STATES, 1 + STATES + WIDTH))
             for pdf in batches:
-                for raw in pdf["x"]:
-                    x = np.frombuffer(raw, np.int8).astype(np.int64).reshape(-1, len(SIZES))
-                    tally(x, viterbi(x, current), total)
+                if len(pdf):
+                    x, sizes = unpack(pdf["x"])
+                    tally(x, sizes, viterbi(x, sizes, current), total)
             at = np.flatnonzero(total)
             yield pd.DataFrame({"slot": at, "n": total.ravel()[at]})
 
@@ -311,25 +342,50 @@ def label_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            labels = [viterbi(np.frombuffer(raw, np.int8).astype(np.int64).reshape(-1, len(SIZES)), final).astype(np.int32) for raw in pdf["x"]]
-            yield pd.DataFrame({"k": pdf["k"], "lines": pdf["lines"], "labels": labels})
+            if len(pdf):
+                x, sizes = unpack(pdf["x"])
+                labels = np.split(viterbi(x, sizes, final).astype(np.int32), np.cumsum(sizes)[:-1])
+                yield pd.DataFrame({"k": pdf["k"], "lines": pdf["lines"], "labels": labels})
 
     return cut_lineage(pages.mapInPandas(decode, f"k {kind}, lines array<string>, labels array<int>"))
 
 
+def filter_bits(word: str, bits: int) -> tuple[int, int]:
+    """The two places of a word in a table of ``bits`` bits, as Spark's xxhash64 gives them."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h & (bits - 1), h >> 32 & (bits - 1)
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    """Bit table that holds every ``word`` of a table and few others; 16 bits a word, FILTER_BITS at most."""
+    n = words.count()
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    h = F.xxhash64("word")
+    mask = F.lit(bits - 1)
+    at = words.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("at"))
+    blocks = at.groupBy(F.shiftright("at", 5).cast("int").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("w")).toPandas()
+    table = np.zeros(bits >> 5, np.uint32)
+    table[blocks["b"].to_numpy()] = blocks["w"].to_numpy().astype(np.uint32)
+    return table
+
+
 def _word_noise(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(breaks (k, i, j, word), misread (k, i, j, word, right)): broken and misread words by line, counted from 0."""
+    """(breaks (k, i, j, word), misread (k, i, j, line, word, right)): broken and misread words by line, counted from 0."""
     kind = pages.schema["k"].dataType.simpleString()
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, *w) for k, ls, y in zip(pdf["k"], pdf["lines"], pdf["labels"]) for w in words_of(list(ls), np.asarray(y))]
-            yield pd.DataFrame(rows, columns=["k", "i", "j", "part", "word", "split"])
-
-    tokens = cut_lineage(pages.mapInPandas(words, f"k {kind}, i int, j int, part int, word string, split string"))
-    counts = cut_lineage(tokens.where("split IS NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    broken = tokens.where("split IS NOT NULL")
-    forms = tokens.select("word").union(broken.select("split")).distinct()
+            seen: Counter = Counter()
+            for ls, y in zip(pdf["lines"], pdf["labels"]):
+                for _, _, _, word, split in words_of(list(ls), y):
+                    seen[word, split] += 1
+            yield pd.DataFrame([(w, s, n) for (w, s), n in seen.items()], columns=["word", "split", "n"])
+
+    # per batch one row of each word; those of broken words carry their hyphenated form
+    tokens = cut_lineage(pages.select("lines", "labels").mapInPandas(count, "word string, split string, n bigint"))
+    counts = cut_lineage(tokens.where("split IS NULL").groupBy("word").agg(F.sum("n").alias("n")))
+    pairs = tokens.where("split IS NOT NULL").select("word", "split").distinct()
+    forms = tokens.select("word").union(pairs.select("split")).distinct()
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -342,13 +398,34 @@ def _word_noise(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = cut_lineage(best.select("word", F.col("b.nr").alias("nr"), F.col("b.right").alias("right"), F.col("b.place").alias("place")))
 
     known = counts.join(best.select("word", "nr"), "word", "full").select("word", F.coalesce("nr", "n").alias("n"))
-    broken = broken.join(known.toDF("word", "nw"), "word", "left").join(known.toDF("split", "ns"), "split", "left").fillna(0, ["nw", "ns"])
+    pairs = pairs.join(known.toDF("word", "nw"), "word", "left").join(known.toDF("split", "ns"), "split", "left").fillna(0, ["nw", "ns"])
     # no noise where it is written with its hyphen elsewhere, and more often than without (misread forms count as what they stand for)
-    broken = broken.withColumn("noise", F.col("ns") <= F.col("nw"))
+    pairs = pairs.select("word", "split", (F.col("ns") <= F.col("nw")).alias("noise"))
+    shared = pages.sparkSession.sparkContext.broadcast(word_filter(best))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        bits = len(table) << 5
+        known: dict[str, bool] = {}
+        for pdf in batches:
+            rows = []
+            if len(known) > 300_000:
+                known.clear()
+            for k, ls, y in zip(pdf["k"], pdf["lines"], pdf["labels"]):
+                for w in words_of(list(ls), y):
+                    may = known.get(w[3])
+                    if may is None:
+                        a, b = filter_bits(w[3], bits)
+                        may = known[w[3]] = bool(table[a >> 5] >> (a & 31) & 1 and table[b >> 5] >> (b & 31) & 1)
+                    if may or w[4] is not None:
+                        rows.append((k, *w))
+            yield pd.DataFrame(rows, columns=["k", "i", "j", "part", "word", "split"])
+
+    found = cut_lineage(pages.mapInPandas(places, f"k {kind}, i int, j int, part int, word string, split string"))
+    broken = found.where("split IS NOT NULL").join(pairs, ["word", "split"])
     broken = cut_lineage(broken.select("k", "i", "j", "part", F.when(F.col("noise"), F.col("word")).otherwise(F.col("split")).alias("word"), "noise"))
-    plain = tokens.where("split IS NULL").select("k", "i", "j", "part", "word")
-    all_words = plain.union(broken.select("k", "i", "j", "part", "word"))
-    wrong = all_words.join(best, "word")
+    suspects = found.where("split IS NULL").select("k", "i", "j", "part", "word").union(broken.select("k", "i", "j", "part", "word"))
+    wrong = suspects.join(best, "word")
     line = F.when((F.col("i") == F.col("j")) | (F.col("place") < F.col("part")), F.col("i")).otherwise(F.col("j"))
     return broken.where("noise").select("k", "i", "j", "word"), wrong.select("k", "i", "j", line.alias("line"), "word", "right")
 
