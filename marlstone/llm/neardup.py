@@ -9,16 +9,16 @@ x + g*y mod POINTS (POINTS prime, y below CLASSES).  Two masks share at most one
 are disjoint and cover every place.  A differing place spoils exactly one mask of each y, so whatever places
 differ, as long as they are fewer than POINTS, some mask is untouched: every pair of sketches within the radius
 POINTS - 1 collides in some table, guaranteed.  Pairs farther apart collide with a probability that falls with
-their distance; at similarity 0.7 fewer than one pair in a thousand is missed, at 0.8 one in a hundred thousand
-(figures of a simulation of this design, in the README).
+their distance (figures of a simulation of this design are in the README).
 
-Candidates are then compared sketch by sketch (all places), and what is left by the exact sets, so no wrong
-pair comes out.  Records with equal sets form one class, whose representative alone is hashed and joined; a hot
+Candidates are then compared sketch by sketch (all places): those that agree at DEVIATIONS standard deviations fewer
+places than pairs at the threshold do (one such pair in a thousand million) are dropped, and what is left is compared
+by the exact sets, so no wrong pair comes out.  Records with equal sets form one class, whose representative alone is hashed and joined; a hot
 group of copies costs one row.  The join on (table, key) is an equi-join that Spark splits when a key is hot;
 nothing is capped.
 
 Defined cases: null keys and texts and texts with fewer than ``least_words`` words take no part; repeated rows of
-one key count once; equal sets under different keys are near-duplicates of similarity 1; very long texts are read
+one key count once (the one with the least set, should they differ); equal sets under different keys are near-duplicates of similarity 1; very long texts are read
 whole; an empty table gives no rows; other columns are ignored.
 """
 
@@ -36,10 +36,9 @@ from pyspark.sql import functions as F
 from ..lineage import cut_lineage
 from .common import spread
 
-GROUPS, POINTS, CLASSES = 5, 13, 5
+GROUPS, POINTS, CLASSES = 5, 13, 8
 SHINGLE, LEAST_WORDS = 3, 50
-#: Sketches that agree at fewer places are not compared exactly: 4.5 standard deviations below the mean at the threshold.
-DEVIATIONS = 4.5
+DEVIATIONS = 6
 WORDS = re.compile(r"[^\W_]+")
 
 _MULTIPLIERS = np.random.default_rng(20240501).integers(1 << 62, size=GROUPS * POINTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,6 +73,12 @@ def shingles(text: str, n: int = SHINGLE, least_words: int = LEAST_WORDS) -> np.
     return np.unique(out)
 
 
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers."""
+    d = xxhash.xxh128_intdigest(hashes.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """32-bit minhash symbols of a set."""
     out = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
@@ -84,7 +89,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _features(df: DataFrame, key: str, text: str, n: int, least_words: int) -> DataFrame:
-    """(k, id, size, set1, set2, sketch) of every key that takes part; ``id`` is a hash of the key."""
+    """(k, size, set1, set2, sketch) of every key that takes part."""
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,14 +97,12 @@ def _features(df: DataFrame, key: str, text: str, n: int, least_words: int) -> D
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 if (s := shingles(t, n, least_words)) is not None:
-                    raw = s.tobytes()
-                    digest = xxhash.xxh128_intdigest(raw)
-                    out.append((k, len(s), (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), sketch(s)))
+                    out.append((k, len(s), *digest(s), sketch(s)))
             yield pd.DataFrame(out, columns=["k", "size", "set1", "set2", "sketch"])
 
     kind = df.schema[key].dataType.simpleString()
     found = spread(rows, "k").mapInPandas(run, f"k {kind}, size int, set1 bigint, set2 bigint, sketch array<int>")
-    return found.dropDuplicates(["k"]).withColumn("id", F.xxhash64("k"))
+    return found.groupBy("k").agg(F.min(F.struct("size", "set1", "set2", "sketch")).alias("f")).select("k", "f.*")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7, *, n: int = SHINGLE, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -108,12 +111,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     members (k, rep): every key that takes part and the representative of its class of equal sets (the least key).
     links (a, b, similarity): pairs of representatives, a < b, whose exact similarity is at least ``threshold``.
     """
-    features = cut_lineage(_features(df, key, text, n, least_words))
+    # numbers of the written rows stand for the keys until the end: short whatever the keys are, and unique
+    features = cut_lineage(_features(df, key, text, n, least_words).withColumn("id", F.monotonically_increasing_id()))
     classes = features.groupBy("set1", "set2", "size").agg(F.min("k").alias("rep"))
     members = features.select("k", "set1", "set2", "size").join(classes, ["set1", "set2", "size"]).select("k", "rep")
     reps = cut_lineage(features.join(classes.select(F.col("rep").alias("k")), "k", "left_semi").select("k", "id", "size", "sketch"))
 
-    tables = F.array(*[F.xxhash64(F.lit(i), *[F.col("sketch")[p] for p in m]) for i, m in enumerate(masks())])
+    picks = F.array(*[F.array(*map(F.lit, m)) for m in masks()])
+    tables = F.transform(picks, lambda m, i: F.xxhash64(i, F.transform(m, lambda p: F.get("sketch", p))))
     hashed = reps.select("id", "size", F.explode(tables).alias("key"))
     a, b = hashed.alias("a"), hashed.alias("b")
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
@@ -127,17 +132,17 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
     near = cut_lineage(near.where(agree >= least).select("ia", "ib"))
 
-    involved = near.select(F.col("ia").alias("id")).union(near.select(F.col("ib").alias("id"))).distinct()
+    involved = near.select(F.col("ia").alias("id")).union(near.select(F.col("ib").alias("id"))).distinct().join(reps.select("id", "k"), "id")
     kind = df.schema[key].dataType.simpleString()
-    texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(key).alias("id"), F.col(text).alias("t"))
-    texts = texts.join(involved, "id", "left_semi").join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
+    texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(involved, "k")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, i, s.view(np.int64)) for k, i, t in zip(pdf["k"], pdf["id"], pdf["t"]) if (s := shingles(t, n, least_words)) is not None]
-            yield pd.DataFrame(out, columns=["k", "id", "s"])
+            out = [(k, i, len(s), *digest(s), s.view(np.int64)) for k, i, t in zip(pdf["k"], pdf["id"], pdf["t"]) if (s := shingles(t, n, least_words)) is not None]
+            yield pd.DataFrame(out, columns=["k", "id", "size", "set1", "set2", "s"])
 
-    exact = texts.select("k", "id", "t").mapInPandas(sets, f"k {kind}, id bigint, s array<bigint>").dropDuplicates(["k"])
+    exact = texts.select("k", "id", "t").mapInPandas(sets, f"k {kind}, id bigint, size int, set1 bigint, set2 bigint, s array<bigint>")
+    exact = exact.groupBy("k", "id").agg(F.min(F.struct("size", "set1", "set2", "s")).alias("f")).select("k", "id", "f.s")
     pairs = near.join(exact.toDF("ka", "ia", "xa"), "ia").join(exact.toDF("kb", "ib", "xb"), "ib")
     common = F.size(F.array_intersect("xa", "xb"))
     pairs = pairs.withColumn("similarity", common / (F.size("xa") + F.size("xb") - common)).where(F.col("similarity") >= threshold)
