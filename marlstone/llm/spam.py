@@ -2,14 +2,18 @@
 
 A text becomes a sequence of word classes: each function word of four languages is a class of its own, other
 words are classed by their shape (lower case, capital, all capitals, number, address, joined tag), marks by
-themselves.  A trigram model of these classes is trained on the prose of the corpus itself, that is on all
-texts with a usual share of function words and sentence ends; its counts live in hashed tables of fixed size
-(TRIGRAMS, BIGRAMS), summed over all documents by Spark, so no more than these tables reaches the driver.
-
-A page is read in windows of WINDOW classes.  A window is abnormal if its perplexity under the prose model is
-HIGH or more (bare keywords, links, tags, menus), or if its perplexity under a cache model of the page's own
-last CACHE words is LOW or less (sentences that only repeat a keyword: they look like prose, but every pair
-of neighbouring words was there just before).  A page is flagged when at least SHARE of its windows are abnormal.
+themselves.  A class-based trigram model is trained on the prose of the corpus itself, that is on all texts with a
+usual share of function words and sentence ends: a token costs the bits of its class after the two classes before,
+and a word of an open class EMISSION bits more, since it is one of many.  The counts live in hashed tables of fixed
+size (TRIGRAMS, BIGRAMS), summed over all documents by Spark, so no more than these tables reaches the driver.
+
+A page is read in windows of WINDOW classes, whose score is the logarithm of their perplexity.  Median and spread of
+the scores of all prose pages come from a histogram of fixed size; a window is abnormal if it lies HIGH spreads or
+more above the median (bare keywords, tags, menus) or LOW spreads or more below it (lists of addresses: always the
+same step).  It is also abnormal if its perplexity under a cache model is low: that model mixes the page's own last
+CACHE words (a word that followed the same word there has probability CACHED) with the prose model, and a window of
+CACHE_LOW bits a word or less says nothing new (sentences that only repeat a keyword).  A page is flagged when at
+least SHARE of its windows are abnormal.
 
 Front matter, comments and heading lines are left out first.  Defined cases: null, empty and blank texts and
 texts of fewer than LEAST_WORDS words are no cases; very long texts are read whole; repeated rows of one key
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +37,15 @@ from .pairs import STOPWORDS, WORD
 
 TRIGRAMS, BIGRAMS = 1 << 18, 1 << 16
 WINDOW, CACHE, LEAST_WORDS = 24, 160, 15
-HIGH, LOW, SHARE = 14.0, 6.0, 0.51
-#: A window is also abnormal if it is less odd in either sense, but odd in both.
-BOTH_HIGH, BOTH_LOW = 8.0, 128.0
+EMISSION, HIGH, LOW, SHARE = 6.0, 3.25, 5.0, 0.51
+CACHED, CACHE_LOW = 0.9, 2.4
 SMOOTHING = 0.05
+#: Scores of windows are counted in steps of 1 / BINS bit, up to TOP bits.
+BINS, TOP = 64, 40
 
 EXTRA = {
     "en": "more than once both two four seven first so they their them into out over between next same may must does did will would should only another other all some few whoever".split(),
-    "de": "dem diese dieser als für mindestens verspätete wird dann dass noch niemanden jede alle mehr nach beim vom innerhalb unter".split(),
+    "de": "dem diese dieser als für mindestens wird dann dass noch niemanden jede alle mehr nach beim vom innerhalb unter".split(),
     "fr": "tout tous toute sous dès lors si leurs y en moins plus deux notre vous nos reste a".split(),
     "es": "sea ha han hay todo toda cada salvo junto juntos siguen menos dos nuestro lo dónde hacia".split(),
 }
@@ -88,35 +94,33 @@ def analyse(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     if not tokens:
         return None
     memo = MEMO
-    classes = list(map(memo.get, tokens))
-    if None in classes:
+    known = list(map(memo.get, tokens))
+    if None in known:
         if len(memo) > 300_000:
             memo.clear()
-        for i, c in enumerate(classes):
+        for i, c in enumerate(known):
             if c is None:
-                memo[tokens[i]] = classes[i] = class_of(tokens[i])
-    seq = np.array(classes, np.int64)
+                memo[tokens[i]] = known[i] = xxhash.xxh64_intdigest(tokens[i].lower()) >> 10 << 9 & 0x7FFFFFFFFFFFFFFF | class_of(tokens[i])
+    both = np.array(known, np.int64)  # the class in the low 9 bits, the word above
+    seq = both & 511
     words = np.flatnonzero(~_IS_MARK[seq])
     if len(words) < LEAST_WORDS and (len(seq) < 3 or len(WORD.findall(FRONT.sub("", text))) < LEAST_WORDS):
         return None  # heading lines count as words of the text, though they are not judged
-    last: dict[tuple[int, int], int] = {}
-    hashes = [hash(tokens[i].lower()) for i in words.tolist()]
+    h = both[words] >> 9
+    pairs = h.copy()
+    pairs[1:] ^= h[:-1] * 0x9E3779B1
+    order = np.argsort(pairs, kind="stable")
+    again = (pairs[order][1:] == pairs[order][:-1]) & (np.diff(order) <= CACHE)
     new = np.ones(len(seq), bool)
-    prev = 0
-    get = last.get
-    for n, (i, h) in enumerate(zip(words.tolist(), hashes)):
-        key = prev ^ (h << 1)
-        before = get(key)
-        if before is not None and n - before <= CACHE:
-            new[i] = False
-        last[key] = n
-        prev = h
+    new[words[order[1:][again]]] = False
     return seq, new
 
 
 _IS_MARK = np.zeros(len(CLASS), bool)
 _IS_MARK[len(SHAPES) : _FIRST_FUNCTION] = True
 _IS_MARK[CLASS["mark"]] = True
+_IS_OPEN = np.zeros(len(CLASS), bool)
+_IS_OPEN[[CLASS[c] for c in ("lower", "capital", "capitals", "mixed", "tag")]] = True
 
 
 def _slots(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,23 +138,30 @@ def is_prose(seq: np.ndarray) -> bool:
 
 
 def window_scores(seq: np.ndarray, new: np.ndarray, trigrams: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(perplexity under the prose model, perplexity under the cache model) of each window."""
+    """(bits a class under the prose model, bits a word under the cache model) of each window."""
     three, two = _slots(seq)
-    bits = -np.log2((trigrams[three] + SMOOTHING) / (bigrams[two] + SMOOTHING * len(CLASS)))
+    bits = -np.log2((trigrams[three] + SMOOTHING) / (bigrams[two] + SMOOTHING * len(CLASS))) + EMISSION * _IS_OPEN[seq[2:]]
     edges = np.arange(0, len(bits), WINDOW)
     if len(edges) > 1 and len(bits) - edges[-1] < WINDOW // 2:
         edges = edges[:-1]  # a short rest belongs to the last window
-    size = np.diff(np.append(edges, len(bits)))
-    prose = np.exp2(np.add.reduceat(bits, edges) / size)
+    prose = np.add.reduceat(bits, edges) / np.diff(np.append(edges, len(bits)))
     isw = ~_IS_MARK[seq[2:]]
-    n = np.maximum(np.add.reduceat(isw.astype(np.int64), edges), 1)
-    fresh = np.add.reduceat((isw & new[2:]).astype(np.int64), edges) / n
-    return prose, np.exp2(10.0 * fresh)  # a new word pair costs ten bits, a known one none
+    mixed = -np.log2((1 - CACHED) * np.exp2(-bits) + CACHED * ~new[2:])
+    cache = np.add.reduceat(np.where(isw, mixed, 0.0), edges) / np.maximum(np.add.reduceat(isw.astype(np.int64), edges), 1)
+    return prose, cache
+
+
+def usual(counts: np.ndarray) -> tuple[float, float]:
+    """(median, spread) of scores counted in steps of 1 / BINS; the spread is that of a normal law with the same 5th and 95th percentiles."""
+    total = np.cumsum(counts)
+    low, middle, high = ((np.searchsorted(total, q * total[-1]) + 0.5) / BINS for q in (0.05, 0.5, 0.95))
+    return float(middle), float(max(high - low, 2.0 / BINS) / 3.29)
 
 
-def abnormal(prose: np.ndarray, cache: np.ndarray, trained: bool) -> np.ndarray:
-    """Which windows are abnormal."""
-    return (cache <= LOW) | (((prose >= HIGH) | ((prose >= BOTH_HIGH) & (cache <= BOTH_LOW))) & trained)
+def abnormal(prose: np.ndarray, cache: np.ndarray, median: float | None, spread: float) -> np.ndarray:
+    """Which windows are abnormal; without a median (no prose to learn from) the cache model decides alone."""
+    odd = cache <= CACHE_LOW
+    return odd if median is None else odd | (prose >= median + HIGH * spread) | (prose <= median - LOW * spread)
 
 
 def score_pages(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -189,18 +200,39 @@ def score_pages(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         three, two = shared.value[3], shared.value[2]
-        trained = bool(two.any())
         for pdf in batches:
             out = []
             for k, raw, bits in zip(pdf["k"], pdf["seq"], pdf["new"]):
                 seq = np.frombuffer(raw, np.uint16).astype(np.int64)
                 new = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(seq)].astype(bool)
                 prose, cache = window_scores(seq, new, three, two)
-                odd = abnormal(prose, cache, trained)
-                out.append((k, len(odd), float(odd.mean()), float(np.median(prose)), float(np.median(cache))))
+                out.append((k, is_prose(seq), prose.astype(np.float32).tobytes(), cache.astype(np.float32).tobytes()))
+            yield pd.DataFrame(out, columns=["k", "is_prose", "prose", "cache"])
+
+    windows = cut_lineage(pages.mapInPandas(score, f"k {kind}, is_prose boolean, prose binary, cache binary"))
+
+    def spread_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BINS * TOP, np.int64)
+        for pdf in batches:
+            scores = np.frombuffer(b"".join(pdf["prose"]), np.float32)
+            total += np.bincount(np.minimum((scores * BINS).astype(np.int64), len(total) - 1), minlength=len(total))
+        yield pd.DataFrame({"bin": np.flatnonzero(total), "n": total[total > 0]})
+
+    seen = windows.where("is_prose").select("prose").mapInPandas(spread_of, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    histogram = np.zeros(BINS * TOP, np.int64)
+    histogram[seen["bin"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    median, deviation = usual(histogram) if histogram.any() else (None, 0.0)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, p, c in zip(pdf["k"], pdf["prose"], pdf["cache"]):
+                prose, cache = np.frombuffer(p, np.float32), np.frombuffer(c, np.float32)
+                odd = abnormal(prose, cache, median, deviation)
+                out.append((k, len(odd), float(odd.mean()), float(np.exp2(np.median(prose))), float(np.exp2(np.median(cache)))))
             yield pd.DataFrame(out, columns=["k", "windows", "abnormal", "prose_perplexity", "cache_perplexity"])
 
-    scored = pages.mapInPandas(score, f"k {kind}, windows int, abnormal double, prose_perplexity double, cache_perplexity double")
+    scored = windows.mapInPandas(judge, f"k {kind}, windows int, abnormal double, prose_perplexity double, cache_perplexity double")
     return scored.withColumnRenamed("k", key)
 
 
