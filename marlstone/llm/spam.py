@@ -137,16 +137,23 @@ def is_prose(seq: np.ndarray) -> bool:
     return words > 0 and (seq >= _FIRST_FUNCTION).sum() >= 0.22 * words and words / 40 <= ends <= words / 4
 
 
-def window_scores(seq: np.ndarray, new: np.ndarray, trigrams: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def logarithms(trigrams: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the smoothed counts."""
+    return np.log2(trigrams + SMOOTHING), np.log2(bigrams + SMOOTHING * len(CLASS))
+
+
+def window_scores(seq: np.ndarray, new: np.ndarray, log_three: np.ndarray, log_two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bits a class under the prose model, bits a word under the cache model) of each window."""
     three, two = _slots(seq)
-    bits = -np.log2((trigrams[three] + SMOOTHING) / (bigrams[two] + SMOOTHING * len(CLASS))) + EMISSION * _IS_OPEN[seq[2:]]
+    bits = log_two[two] - log_three[three] + EMISSION * _IS_OPEN[seq[2:]]
     edges = np.arange(0, len(bits), WINDOW)
     if len(edges) > 1 and len(bits) - edges[-1] < WINDOW // 2:
         edges = edges[:-1]  # a short rest belongs to the last window
     prose = np.add.reduceat(bits, edges) / np.diff(np.append(edges, len(bits)))
     isw = ~_IS_MARK[seq[2:]]
-    mixed = -np.log2((1 - CACHED) * np.exp2(-bits) + CACHED * ~new[2:])
+    mixed = bits - np.log2(1 - CACHED)
+    known = np.flatnonzero(~new[2:])
+    mixed[known] = -np.log2(np.exp2(-mixed[known]) + CACHED)
     cache = np.add.reduceat(np.where(isw, mixed, 0.0), edges) / np.maximum(np.add.reduceat(isw.astype(np.int64), edges), 1)
     return prose, cache
 
@@ -165,7 +172,7 @@ def abnormal(prose: np.ndarray, cache: np.ndarray, median: float | None, spread:
 
 
 def score_pages(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, windows INT, abnormal DOUBLE, prose_perplexity DOUBLE, cache_perplexity DOUBLE): medians over windows."""
+    """(key, windows INT, abnormal DOUBLE, prose_perplexity DOUBLE, cache_perplexity DOUBLE): perplexities are means over the page's windows."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
 
@@ -196,10 +203,10 @@ def score_pages(df: DataFrame, key: str, text: str) -> DataFrame:
     tables = {3: np.zeros(TRIGRAMS), 2: np.zeros(BIGRAMS)}
     for which, part in counts.groupby("which"):
         tables[which][part["slot"].to_numpy()] = part["n"].to_numpy()
-    shared = pages.sparkSession.sparkContext.broadcast(tables)
+    shared = pages.sparkSession.sparkContext.broadcast(logarithms(tables[3], tables[2]))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        three, two = shared.value[3], shared.value[2]
+        three, two = shared.value
         for pdf in batches:
             out = []
             for k, raw, bits in zip(pdf["k"], pdf["seq"], pdf["new"]):
@@ -225,12 +232,14 @@ def score_pages(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, p, c in zip(pdf["k"], pdf["prose"], pdf["cache"]):
-                prose, cache = np.frombuffer(p, np.float32), np.frombuffer(c, np.float32)
-                odd = abnormal(prose, cache, median, deviation)
-                out.append((k, len(odd), float(odd.mean()), float(np.exp2(np.median(prose))), float(np.exp2(np.median(cache)))))
-            yield pd.DataFrame(out, columns=["k", "windows", "abnormal", "prose_perplexity", "cache_perplexity"])
+            if not len(pdf):
+                continue
+            size = np.array([len(p) // 4 for p in pdf["prose"]], np.int64)
+            prose, cache = (np.frombuffer(b"".join(pdf[c]), np.float32).astype(np.float64) for c in ("prose", "cache"))
+            first = np.cumsum(size) - size
+            mean = lambda x: np.add.reduceat(x, first) / size
+            odd = abnormal(prose, cache, median, deviation).astype(np.float64)
+            yield pd.DataFrame({"k": pdf["k"], "windows": size.astype(np.int32), "abnormal": mean(odd), "prose_perplexity": np.exp2(mean(prose)), "cache_perplexity": np.exp2(mean(cache))})
 
     scored = windows.mapInPandas(judge, f"k {kind}, windows int, abnormal double, prose_perplexity double, cache_perplexity double")
     return scored.withColumnRenamed("k", key)
