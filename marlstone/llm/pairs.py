@@ -11,7 +11,8 @@ Each defective pair gets exactly one defect, tested in this order:
   counts in a response of at most REFUSAL_WORDS words.  A longer one refuses if no more words precede the matched
   sentence, courtesies and sentences in the first person aside, than follow from it on; there a match that is
   quoted or conditional ("if I am unable to") does not count, nor a role ("as an assistant") without a first person.
-* ``other_language``: stopword votes of the response and of the prompts name different languages.
+* ``other_language``: stopword votes of the prompts name a language, and in the response another one has VOTES votes
+  or more and at least VOTE_MARGIN times those of the prompts' language.
 * ``truncated``: the last sentence has no end.  A stack of delimiters tells closing marks from open ones: an open
   bracket or a dash at the end, an ellipsis, or a missing full stop outside lists, tables and menus.
 
@@ -40,8 +41,8 @@ REFUSALS = (
     "i can't help with", "i cannot help with", "i can't assist", "i cannot assist", "i'm unable to", "i am unable to", "i'm not able to", "i am not able to", "i cannot provide", "i can't provide",
     "i cannot answer", "i can't answer", "it isn't possible for me to", "it is not possible for me to", "as a language model", "as an ai", "as an assistant", "i must decline", "i have to decline", "i won't be able to",
     "would go against my guidelines", "against my guidelines", "falls outside of what i can do", "outside of what i can do for you", "i do not have enough information to answer", "i don't have enough information",
-    "the context does not say", "i don't know the answer", "i do not know the answer", "i would rather not comment", "i'd rather not", "no answer can be given by this assistant", "something i am unable to discuss", "i cannot discuss",
-    "i'm sorry, but i can", "i am sorry, but i can", "my apologies, this falls", "unfortunately, i cannot", "unfortunately, i can't",
+    "the context does not say", "i don't know the answer", "i do not know the answer", "i would rather not comment", "i'd rather not", "no answer can be given", "unable to discuss", "i cannot discuss",
+    "i'm sorry, but i can", "i am sorry, but i can", "unfortunately, i cannot", "unfortunately, i can't",
     "dazu kann ich keine auskunft geben", "als sprachmodell", "als assistent", "leider kann ich", "ich kann diese frage nicht beantworten", "kann ich nicht beantworten", "nicht genugend informationen", "ich kann dazu nichts sagen", "ich darf dazu", "es tut mir leid, dazu", "es tut mir leid, aber ich", "mir fehlen informationen",
     "je ne peux pas repondre", "je ne suis pas en mesure", "en tant qu'assistant", "en tant que modele", "il m'est impossible de", "je n'ai pas assez d'informations", "je ne dispose pas", "je suis desole, je ne", "je prefere ne pas", "je regrette, mais je ne",
     "no puedo responder", "no puedo ayudar", "como asistente no", "como modelo de lenguaje", "como asistente", "no dispongo de informacion suficiente", "no tengo suficiente informacion", "no me esta permitido", "lo siento, no puedo", "lamento no poder", "no estoy en condiciones de",
@@ -49,9 +50,9 @@ REFUSALS = (
 LABELS = re.compile(r"^(?:a|q|r|ans|answer|antwort|reponse|respuesta|response|question|frage|pregunta|you asked|the question is|die frage lautet|la question est|la pregunta es|n/a|none|null|nan|tbd|todo|no answer|keine antwort|pas de reponse|sin respuesta)(?=[\s:.\-–—]|$)[\s:.\-–—]*", re.I)
 STOPWORDS = {
     "en": "the of and to in is that for it with as on at by this from or an be are was which not have has when who before after where how what can may until under each does only their one its per".split(),
-    "de": "der die das und ist nicht ein eine einen den dem des mit für von zu auf wird werden im am bei nach vor wie wer wann bis muss man sind sich auch oder wenn durch aus zur zum nur haben kann über unter sofern".split(),
-    "fr": "le la les des et est une du pour dans que qui sur par au aux avec il elle ce cette ces pas ne plus après avant quand combien faut se sont ou comment doit peut entre leur sans jusqu être sa".split(),
-    "es": "el la los las y es una del para en que se por con al un no su más después antes cuándo cuánto hay quién puede son o como lo sin hasta desde debe cada sus este esta sobre cómo qué está".split(),
+    "de": "viel viele welche welcher welches wo warum der die das und ist nicht ein eine einen den dem des mit für von zu auf wird werden im am bei nach vor wie wer wann bis muss man sind sich auch oder wenn durch aus zur zum nur haben kann über unter sofern".split(),
+    "fr": "combien quel quelle quels quelles pourquoi où le la les des et est une du pour dans que qui sur par au aux avec il elle ce cette ces pas ne plus après avant quand combien faut se sont ou comment doit peut entre leur sans jusqu être sa".split(),
+    "es": "cuántos cuántas cuánta cuál cuáles dónde el la los las y es una del para en que se por con al un no su más después antes cuándo cuánto hay quién puede son o como lo sin hasta desde debe cada sus este esta sobre cómo qué está".split(),
 }
 _VOTE = {w: [lang for lang, ws in STOPWORDS.items() if w in ws] for ws in STOPWORDS.values() for w in ws}
 #: Matches that name a role; in long responses they need a first person after them.
@@ -153,14 +154,23 @@ def refuses(core: str, plain: str, n_words: int) -> bool:
     return False
 
 
-def language(words: list[str]) -> str | None:
-    """The language that the stopwords vote for, with a clear margin."""
-    votes = dict.fromkeys(STOPWORDS, 0.0)
+def votes(words: list[str]) -> dict[str, float]:
+    """Stopword votes of the languages; a word of several languages is shared among them."""
+    out = dict.fromkeys(STOPWORDS, 0.0)
     for w in words:
         for lang in (langs := _VOTE.get(w, ())):
-            votes[lang] += 1 / len(langs)
-    (first, a), (_, b) = sorted(votes.items(), key=lambda x: -x[1])[:2]
-    return first if a >= VOTES and a >= VOTE_MARGIN * b else None
+            out[lang] += 1 / len(langs)
+    return out
+
+
+def other_language(prompts: list[str], response: list[str]) -> bool:
+    """Whether the words of the response are of another language than those of the prompts."""
+    asked = votes(prompts)
+    (lang, most), (_, second) = sorted(asked.items(), key=lambda x: -x[1])[:2]
+    if most < 1 or most < VOTE_MARGIN * second:
+        return False
+    own = votes(response)
+    return max(own.values()) >= max(VOTES, VOTE_MARGIN * own[lang])
 
 
 def breaks_off(response: str) -> bool:
@@ -218,8 +228,7 @@ def defect(prompts: list[str], text: str | None, kind: str = "text") -> str | No
         return "copied"
     if refuses(core, plain, len(own)):
         return "refusal"
-    answer, question = language(own), language([w for q in asked for w in q])
-    if answer and question and answer != question:
+    if other_language([w for q in asked for w in q], own):
         return "other_language"
     if not table_like and breaks_off(core):
         return "truncated"
@@ -230,7 +239,8 @@ def find_defects(df: DataFrame, key: str, prompts: str, text: str, kind: str) ->
     """(key, defect STRING) of every defective pair; see the module for the defined cases."""
     real = F.filter(prompts, lambda q: F.regexp_replace(q, r"[\s\p{Z}\p{Cf}]", "") != "")
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), real.alias("q"), F.col(text).alias("t"), F.col(kind).alias("c"))
-    rows = rows.where(F.size("q") > 0).groupBy("k").agg(F.min("t").alias("t"), F.min("c").alias("c"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("q")))).alias("q"))
+    # text and type come from one row, that of the least text
+    rows = rows.where(F.size("q") > 0).groupBy("k").agg(F.min(F.struct(F.isnull("t").alias("n"), "t", "c")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("q")))).alias("q")).select("k", "r.t", "r.c", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
