@@ -2,13 +2,14 @@
 
 One Aho-Corasick automaton holds all phrases of all languages, the delimiters of template fields and the
 typical words of filler text; one pass over a text finds them all.  A phrase counts where it stands on word
-boundaries.  A field delimiter only calls the grammar of fields for that text, a filler word only the run
+boundaries; an error message or script notice must also be a statement of its own: no quotation, and at most LEAD words
+before it in its line or sentence, or half of that sentence.  Texts that talk about such messages are no residue.  A field delimiter only calls the grammar of fields for that text, a filler word only the run
 test: at least FILLER_RUN filler words in a row with at least FILLER_OWN that no ordinary text uses.
 
 Texts are compared in lower case, without accents, with digits as 0, words broken by a hyphen at a line end
-joined and white space collapsed.  ``coverage`` is the part of the normalised text that matches.  The data
-set's cases are records with any match, so ``min_coverage`` is 0 there; a corpus that wants to keep pages
-which merely hold one field sets it higher.
+joined and white space collapsed.  ``coverage`` is the part of the normalised text that matches.  ``find_residue``
+names every record with a match, since that is what the data set asks for; ``without_residue`` excludes a record
+when its coverage is at least MIN_COVERAGE, so that a long page which merely holds one field stays.
 
 Defined cases: null and empty texts give no row; repeated rows of one key give one row; very long texts are
 scanned whole; a null key is dropped; an empty table gives no rows; other columns are ignored.
@@ -36,7 +37,7 @@ ERROR_PAGE = (
     "access denied: your", "the file you have requested has been moved or deleted", "the database connection failed", "error establishing a database connection",
     "fatal error: uncaught", "traceback (most recent call last)", "stack trace:", "connection timed out after", "image could not be displayed", "the link may be broken",
     "verify that you are human", "checking your connection before you proceed", "checking your browser", "just a moment, checking", "please complete the captcha",
-    "loading, please wait", "your browser is not supported", "possible causes: a mistyped address", "if the problem persists, report incident", "time of failure:",
+    "loading, please wait", "your browser is not supported", "a mistyped address", "if the problem persists", "time of failure:",
     "seite nicht gefunden", "die seite wurde nicht gefunden", "zugriff verweigert:", "interner serverfehler", "es ist ein fehler aufgetreten",
     "cette page est introuvable", "page introuvable", "la page demandee n'existe pas", "acces refuse :", "une erreur est survenue",
     "la pagina solicitada no existe", "pagina no encontrada", "acceso denegado:", "se ha producido un error", "error interno del servidor",
@@ -48,8 +49,8 @@ SCRIPTS = (
 )
 FILLER = (
     "lorem ipsum", "dolor sit amet", "placeholder copy", "placeholder text", "replace this image", "replace this text", "your text goes here", "your content goes here", "text goes here",
-    "this is dummy copy", "this is dummy text", "dummy copy for the layout", "caption for figure", "describe item", "enter subtitle", "enter title here", "type something about",
-    "content coming soon", "second column text", "first column text", "sample paragraph text", "button label.", "add a short description of this", "add your text here", "heading text here", "body text here", "title text here", "click here to edit",
+    "this is dummy copy", "this is dummy text", "dummy copy for the layout", "caption for", "describe item", "enter subtitle", "enter title here", "type something about",
+    "content coming soon", "column text", "sample paragraph", "sample text", "button label", "button text", "add a short description of this", "add your text here", "heading text here", "body text here", "title text here", "click here to edit",
     "headline goes here", "insert text here", "blindtext", "platzhaltertext", "texte factice", "faux texte", "texto de relleno", "texto de ejemplo", "hier steht ihr text", "votre texte ici", "su texto aqui",
 )
 KINDS = {"error_page": ERROR_PAGE, "script_notice": SCRIPTS, "filler": FILLER}
@@ -62,6 +63,7 @@ FILLER_OWN_WORDS = (
 ).split()
 KEYBOARD = "asdf asdfgh qwerty qwertz azerty foo bar baz xxx blah bla dummy test abc hjkl".split()
 FILLER_RUN, FILLER_OWN, KEYBOARD_RUN = 4, 2, 5
+LEAD, MIN_COVERAGE = 3, 0.2
 
 TRIGGERS = ("{{", "${", "#{", "<%", "{%", "[[", "@@", "__", "%", "$", "here]", "here)", "here>", "<<", "[object", "[insert", "[enter", "[add", "xx/xx", "[your")
 NAME = r"[A-Za-z_][\w.\-]*(?:[ \n][\w.\-]+){0,4}"
@@ -106,6 +108,26 @@ def automaton() -> ahocorasick.Automaton:
 _LATIN, _OWN, _KEYS = frozenset(FILLER_COMMON) | frozenset(FILLER_OWN_WORDS), frozenset(FILLER_OWN_WORDS), frozenset(KEYBOARD)
 
 
+GAP, SEGMENT, QUOTES = re.compile(r"\s+"), re.compile(r"\n|[.!?:|/>] "), "\"'“„«‘‚‹`"
+
+
+def with_lines(text: str, norm: str) -> str:
+    """The normalised text with its line breaks, place by place."""
+    lined = GAP.sub(lambda m: "\n" if "\n" in m.group() else " ", JOIN.sub("", text).strip())
+    return lined if len(lined) == len(norm) else norm
+
+
+def own_statement(lined: str, a: int, b: int) -> bool:
+    """Whether the phrase from a to b is said, not talked about."""
+    start = max((m.end() for m in SEGMENT.finditer(lined, max(0, a - 400), a)), default=max(0, a - 400))
+    before = lined[start:a]
+    if before.rstrip()[-1:] in QUOTES and before.rstrip() and before.strip(QUOTES + " "):
+        return False
+    stop = SEGMENT.search(lined, b)
+    whole = (stop.start() if stop else len(lined)) - start
+    return len(WORDS.findall(before)) <= LEAD or 2 * (b - a) >= whole
+
+
 def _runs(norm: str, inside: frozenset, own: frozenset, least: int, least_own: int) -> list[tuple[int, int]]:
     """Spans of runs of at least ``least`` words of ``inside``, ``least_own`` different ones of ``own`` among them."""
     out, start, end, n, seen = [], 0, 0, 0, set()
@@ -134,6 +156,7 @@ def scan(text: str | None) -> tuple[float, list[str]] | None:
     spans: list[tuple[int, int]] = []
     kinds: set[str] = set()
     field = latin = keys = False
+    lined = None
     n = len(norm)
     for end, (kind, size) in automaton().iter(norm):
         if kind == "field?":
@@ -145,6 +168,10 @@ def scan(text: str | None) -> tuple[float, list[str]] | None:
         else:
             a, b = end - size + 1, end + 1
             if (a == 0 or not norm[a - 1].isalnum()) and (b == n or not norm[b].isalnum() or not norm[b - 1].isalnum()):
+                if kind != "filler":
+                    lined = lined or with_lines(text, norm)
+                    if not own_statement(lined, a, b):
+                        continue
                 spans.append((a, b))
                 kinds.add(kind)
     if latin and (found := _runs(norm, _LATIN, _OWN, FILLER_RUN, FILLER_OWN)):
@@ -183,6 +210,6 @@ def find_residue(df: DataFrame, key: str, text: str, min_coverage: float = 0.0)
     return hits.agg(F.max("coverage").alias("coverage"), F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("k", key)
 
 
-def without_residue(df: DataFrame, key: str, text: str, min_coverage: float = 0.0) -> DataFrame:
-    """The rows of ``df`` whose record has no residue; rows with a null key are kept."""
+def without_residue(df: DataFrame, key: str, text: str, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """The rows of ``df`` whose record is covered by residue to less than ``min_coverage``; rows with a null key are kept."""
     return df.join(find_residue(df, key, text, min_coverage).select(key), key, "left_anti")
