@@ -7,6 +7,10 @@ overlap included: a piece that follows place e starts ``overlap`` tokens before
 ``max_tokens`` from there.  The successor table is then squared again and again; the set of reached places
 doubles its path length each time, so all cuts of a text with n places come out after log2(n) vector steps.
 
+The same doubling without overlap names the weakest boundary a text needs: over the places of one kind and the
+stronger ones, the farthest successor of a place is the last one that leaves a legal trimmed part, and the first
+kind whose doubling comes to the end of the text is enough.
+
 Which successor is farthest legal: of the strongest kind of boundary in the later half of the reach, the
 farthest one; else of the strongest kind anywhere in reach; else the hard cut.
 
@@ -33,16 +37,6 @@ def tokens(n: int) -> int:
     return n // 4
 
 
-def boundary_kind(text: str, max_tokens: int) -> str:
-    """First kind at which cutting at every boundary of that kind and of the kinds before leaves only legal parts."""
-    parts = [text.strip()]
-    for kind, pattern in KINDS:
-        parts = [q for p in parts for q in ((x.strip() for x in pattern.split(p)) if tokens(len(p)) > max_tokens else (p,))]
-        if all(tokens(len(p)) <= max_tokens for p in parts):
-            return kind
-    return "none"
-
-
 def places(text: str, first: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending cut places and their kinds (0 strongest, 4 hard); the text's end is of kind 0."""
     kind: dict[int, int] = {}
@@ -66,8 +60,39 @@ def places(text: str, first: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.array([kind[x] for x in at.tolist()], np.int8)
 
 
-def cuts(text: str, max_tokens: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, kind of the end) of every piece, by pointer doubling."""
+def doubled(table: np.ndarray) -> np.ndarray:
+    """Which nodes are reached from node 0 over the successors in ``table``: squared until no path is longer."""
+    reached = np.zeros(len(table), bool)
+    reached[0] = True
+    for _ in range(max(1, int(len(table) - 1).bit_length())):
+        reached[table[reached]] = True
+        table = table[table]
+    return reached
+
+
+#: Code points that trimming takes away; none above these.
+SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+def weakest_kind(text: str, at: np.ndarray, kinds: np.ndarray, max_tokens: int) -> str:
+    """First kind of boundary such that its places and those of the kinds before leave only legal trimmed parts."""
+    n = len(text)
+    solid = np.flatnonzero(~np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), SPACES))
+    if not len(solid):
+        return KINDS[0][0]
+    for k, (name, _) in enumerate(KINDS):
+        node = np.concatenate(([0], at[kinds <= k]))  # the end of the text is of kind 0
+        i = np.searchsorted(solid, node)
+        begin = np.append(solid, n)[i]  # first solid character from the place on
+        end = np.where(i > 0, solid[np.maximum(i, 1) - 1] + 1, 0)  # behind the last one before it
+        far = np.searchsorted(end, begin + 4 * max_tokens + 3, side="right") - 1
+        if doubled(np.maximum(far, np.arange(len(node))))[-1]:
+            return name
+    return "none"
+
+
+def cuts(text: str, max_tokens: int, overlap: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """(weakest boundary needed, (start, end, kind of the end) of every piece), by pointer doubling."""
     reach, back = 4 * max_tokens + 3, 4 * overlap
     step = reach - back
     if step < 1:
@@ -94,14 +119,10 @@ def cuts(text: str, max_tokens: int, overlap: int) -> list[tuple[int, int, int]]
     if (nxt[:n] <= np.arange(n)).any():  # every place has a later successor, else a cut would be lost
         bad = nxt <= np.arange(n + 1)
         nxt[bad] = np.minimum(np.arange(n + 1)[bad] + 1, n)
-    reached, table = np.zeros(n + 1, bool), nxt
-    reached[0] = True
-    for _ in range(max(1, int(n).bit_length())):
-        reached[table[reached]] = True
-        table = table[table]
+    reached = doubled(nxt)
     ends = np.flatnonzero(reached)[1:]
     begins = np.concatenate(([0], np.maximum(at[ends[:-1] - 1] - back, 0)))
-    return list(zip(begins.tolist(), at[ends - 1].tolist(), kinds[ends - 1].tolist()))
+    return weakest_kind(text, at, kinds, max_tokens), list(zip(begins.tolist(), at[ends - 1].tolist(), kinds[ends - 1].tolist()))
 
 
 def split_oversized(df: DataFrame, key: str, text: str, max_tokens: int, overlap: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -123,9 +144,9 @@ def split_oversized(df: DataFrame, key: str, text: str, max_tokens: int, overlap
             others = [c for c in pdf.columns if c != "t"]
             for r in pdf.itertuples(index=False):
                 t = r.t
-                kind = boundary_kind(t, max_tokens)
+                kind, pieces = cuts(t, max_tokens, overlap)
                 own = tuple(getattr(r, c) for c in others)
-                for i, (a, b, k) in enumerate(cuts(t, max_tokens, overlap)):
+                for i, (a, b, k) in enumerate(pieces):
                     rows.append((*own, kind, i, a, b, labels[k], t[a:b], tokens(b - a)))
             yield pd.DataFrame(rows, columns=[*others, "boundary", "piece_no", "start", "end", "cut", "piece", "token_count"])
 
