@@ -9,9 +9,10 @@ in snake order of load.
 Sizes are whole numbers no larger than the capacity, so the *plan* is made from the histogram of sizes: at
 most ``capacity`` numbers reach the driver, whatever the number of items.  A plan step says "this many
 containers, each with these sizes"; as every step uses up at least one size, there are at most ``capacity``
-steps.  Each item then finds its place from its rank among the items of its size.  Ranks come from hash
-buckets (a row number inside each bucket and size, plus the count in the buckets before), so a size that a
-third of all items have is never ranked in one task.
+steps.  Each item then finds its place from its rank among the items of its size.  A size with more than
+``per_bucket`` items is dealt to as many hash buckets as it takes (a row number inside each bucket, plus the count in
+the buckets before), so a size that a third of all items have is never ranked in one task, and what reaches the
+driver is one row per size and per ``per_bucket`` items.
 
 Defined cases: items with null size take no part; size 0 is an item like any other and takes no room; an item
 above the capacity is split into full containers and one remainder (the only items ever split); equal sizes
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 
-#: Hash buckets in which ranks are counted, and containers of a step group.
-BUCKETS, GROUP = 64, 8
+#: Items of one size that are ranked together, and containers of a step group.
+PER_BUCKET, GROUP = 1_000_000, 8
 
 
 def tier_of(size: int, capacity: int) -> int:
@@ -121,7 +122,7 @@ def _loads(steps, total: int, group: int) -> tuple[np.ndarray, int]:
     return place, max(1, -(-total // group))
 
 
-def pack(sized: DataFrame, key: str, size: str, capacity: int, *, buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
+def pack(sized: DataFrame, key: str, size: str, capacity: int, *, per_bucket: int = PER_BUCKET, group: int = GROUP) -> DataFrame:
     """(key, piece BIGINT, size BIGINT, start BIGINT, container BIGINT, step_group BIGINT, tier INT): one row per piece.
 
     ``start`` is the piece's offset inside its item; only items above ``capacity`` have more than one piece.
@@ -135,10 +136,12 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, *, buckets: int =
         .groupBy(F.col(key).alias("k")).agg(F.max(size).cast("bigint").alias("n"))
         .withColumn("full", F.floor((F.greatest(F.col("n"), F.lit(1)) - 1) / F.lit(capacity)).cast("bigint"))
         .withColumn("last", F.col("n") - F.col("full") * capacity)
-        .withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
     )
     items = cut_lineage(items)
-    # at most buckets x (capacity + 1) rows, however many items there are
+    hot = {r["last"]: -(-r["c"] // per_bucket) for r in items.groupBy("last").agg(F.count(F.lit(1)).alias("c")).collect() if r["c"] > per_bucket}
+    several = F.create_map(*[F.lit(x).cast("bigint") for kv in hot.items() for x in kv]) if hot else None
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("k"), F.coalesce(F.try_element_at(several, F.col("last")), F.lit(1))).cast("int") if hot else F.lit(0))
+    # at most one row per size and one per full bucket
     counts = items.groupBy("bucket", "last").agg(F.count(F.lit(1)).alias("c"), F.sum("full").alias("f"))
     seen = counts.toPandas()
     histogram = {int(s): int(c) for s, c in seen.groupby("last")["c"].sum().items()}

@@ -162,17 +162,30 @@ def test_splitting_equals_one_by_one_greedy():
         for size, overlap in ((12, 3), (20, 0)):
             if splitting.tokens(len(t)) <= size:
                 continue
-            got = splitting.cuts(t, size, overlap)
+            kind, got = splitting.cuts(t, size, overlap)
+            assert kind == plain_boundary(t, size)
             assert [(a, b) for a, b, _ in got] == plain_cuts(t, size, overlap)
             assert got[0][0] == 0 and got[-1][1] == len(t)
             assert all(splitting.tokens(b - a) <= size for a, b, _ in got)
             assert all(x[1] - y[0] == min(4 * overlap, x[1]) for x, y in itertools.pairwise(got))
 
 
+def plain_boundary(text, size):
+    """The first kind at which splitting again and again leaves only legal parts, by regular expressions."""
+    parts = [text.strip()]
+    for kind, pattern in splitting.KINDS:
+        parts = [x.strip() for p in parts for x in pattern.split(p)]
+        if all(len(p) // 4 <= size for p in parts):
+            return kind
+    return "none"
+
+
 def test_boundary_kinds():
     w = "a" * 30
-    assert splitting.boundary_kind(f"{w}\n \n{w}", 10) == "paragraph" and splitting.boundary_kind(f"{w}\n{w}", 10) == "line"
-    assert splitting.boundary_kind(f"{w}. {w}", 10) == "sentence" and splitting.boundary_kind(f"{w} {w}", 10) == "word" and splitting.boundary_kind(w + w, 10) == "none"
+    assert splitting.cuts(f"{w}\n \n{w}", 10, 2)[0] == "paragraph" and splitting.cuts(f"{w}\n{w}", 10, 2)[0] == "line"
+    assert splitting.cuts(f"{w}. {w}", 10, 2)[0] == "sentence" and splitting.cuts(f"{w} {w}", 10, 2)[0] == "word" and splitting.cuts(w + w, 10, 2)[0] == "none"
+    for text in ("\u3000 \n\n \x1c" * 40, " " * 90, f"{w}\x85 \n \n {w}", f"{w}?\u2003{w}", f"  {w}  "):
+        assert splitting.cuts(text, 10, 2)[0] == plain_boundary(text, 10)
 
 
 def test_split_table(spark):
@@ -273,7 +286,7 @@ def test_packing_table(spark):
     rng = random.Random(10)
     rows = [(i, rng.choice([7, 7, 7, rng.randint(0, 130)]), "x") for i in range(3000)] + [(3000, 1000, "x"), (3001, None, "x"), (None, 5, "x"), (5, 0, "x")]
     df = spark.createDataFrame(rows, "doc_id long, n long, k string")
-    p = packing.pack(df, "doc_id", "n", 100, buckets=8, group=4).toPandas()
+    p = packing.pack(df, "doc_id", "n", 100, per_bucket=40, group=4).toPandas()
     sizes = {}
     for k, n, _ in rows:
         if k is not None and n is not None:

@@ -31,6 +31,22 @@ def test_residue_traps(text):
     assert residue.scan(text) is None
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "When the browser shows 404 not found the file has been moved.", "The help page explains what page not found means and how to report it.", "He wrote 'internal server error' on the form.",
+        "Students who read that a bad gateway is a fault of the network are right.",
+    ],
+)
+def test_texts_about_messages_are_no_residue(text):
+    assert residue.scan(text) is None and residue.scan(PROSE + text) is None
+
+
+@pytest.mark.parametrize("text", ["Sorry, page not found. Go back.", "HTTP 500 internal server error, try again", PROSE + " 502 Bad Gateway returned by the proxy.", "# Notes\nplease enable\njavascript to go on"])
+def test_messages_of_their_own_are_residue(text):
+    assert residue.scan(text)
+
+
 @pytest.mark.parametrize(
     "field",
     [
@@ -49,7 +65,9 @@ def test_residue_table(spark):
     assert sorted(r["id"] for r in got) == ["a", "d"] and next(r for r in got if r["id"] == "a")["kinds"] == ["template_field"]
     assert residue.find_residue(df, "id", "text", 0.5).count() == 1
     assert residue.find_residue(df.where("1 = 0"), "id", "text").count() == 0
-    assert residue.without_residue(df, "id", "text").count() == 4
+    assert residue.without_residue(df, "id", "text", 0.0).count() == 4
+    kept = [r["id"] for r in residue.without_residue(df, "id", "text").collect()]
+    assert len(kept) == 5 and "d" in kept  # a long page that holds one message stays
 
 
 Q = ["When does the lab viva in Tidal Optics take place?", "How many credits does it carry?"]
@@ -165,3 +183,16 @@ def test_scanned_pages(spark):
 def test_corrections():
     assert ("crowns", 0) in scan_repair.corrections("(rowns") and ("until", 2) in scan_repair.corrections("un†il") and ("office", 1) in scan_repair.corrections("oﬃce")
     assert scan_repair.core("HN-31329") is None and scan_repair.core("12,500") is None and scan_repair.core("(most") == "(most" and scan_repair.core("“word”,") == "word"
+
+
+def test_answers_in_a_close_language_and_of_few_votes():
+    fr = "Titre\nLes frais pour Statistique s'élèvent à 1450 couronnes, payables en deux fois. Le stage de Géométrie a lieu à Pellmark et dure 24 jours."
+    assert pairs.defect(["What share of the mark comes from the end-term exam?"], fr) == "other_language"
+    assert pairs.defect(["¿Cuántos créditos tiene el curso Navegación costera?"], fr) == "other_language"
+    assert pairs.defect(["Combien coûte l'examen de Statistique ?"], fr) is None
+
+
+def test_text_and_type_come_from_one_row(spark):
+    rows = [("a", ["When is the exam?"], "T\nThe exam is in May and the", "text"), ("a", ["When is the exam?"], "U\nThe exam is in May.", "table")]
+    df = spark.createDataFrame(rows, "id string, q array<string>, t string, c string")
+    assert [r["defect"] for r in pairs.find_defects(df, "id", "q", "t", "c").collect()] == ["truncated"]
