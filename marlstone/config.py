@@ -24,6 +24,9 @@ class Settings:
     max_questions: int = 3
     dimension: int = 64
     broadcast_bytes: int = 64 << 20
+    name_block: int = 2 << 20  # characters of an automaton
+    refresh_weeks: int = 13
+    question_chars: int = 500
     today: str = "2024-01-01"
     version: str = "1"
 

@@ -15,6 +15,7 @@ OFF_TOPIC = (
 #: What a picture's text holds if it shows a table or a diagram.
 TABLE_SIGNS = ("|", "---", "course code", "credits", "marks", "percentage", "grade", "fee", "term", "week", "total", "minimum", "maximum", "sl.no", "s.no")
 DIAGRAM_SIGNS = ("→", "←", "↑", "↓", "flow", "process", "step", "level", "foundation", "diploma", "degree", "pathway", "arrow")
+#: Sections that are never cited.
 NOISE_SECTIONS = ("this will be in effect", "important advisory", "section index")
 
 #: (parts of the URL, parts of the context, category): the first rule wins; an empty tuple matches everything.

@@ -112,3 +112,18 @@ def question_prompt(content: Column, section: Column, most_chars: int = 1500, le
     """Prompt that asks a model for questions a text answers; null for very short texts."""
     text = strip(content)
     return F.when(F.length(text) >= least_chars, F.concat(F.lit("Write three questions that this text answers.\nSection: "), F.coalesce(section, F.lit("")), F.lit("\n\n"), F.substring(text, 1, most_chars)))
+
+
+def cap_question(question: Column, most: int = 500) -> Column:
+    """A question, cut to the length that is accepted."""
+    return F.substring(question, 1, most)
+
+
+def iso_now() -> Column:
+    """Date and time of the run, in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def size_kb(content: Column) -> Column:
+    """Kilobytes of binary content, two decimals."""
+    return F.round(F.octet_length(content) / 1024.0, 2)

@@ -37,6 +37,12 @@ def is_external(href: Column) -> Column:
     return (href != "") & ~href.startswith("#") & ~is_blocked(href) & ~is_doc(href) & href.startswith("http")
 
 
+def should_follow(href: Column) -> Column:
+    """Whether a link leads to a document to be fetched; what has been visited is an anti-join of the crawl's own."""
+    h = F.coalesce(href, F.lit(""))
+    return (h != "") & ~h.startswith("#") & ~is_blocked(h) & is_doc(h)
+
+
 def host(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("HOST"))
 

@@ -83,3 +83,35 @@ def complete(prompt: Column, providers: Sequence[tuple[str, Chat]], *, retryable
         return pd.DataFrame(rows, columns=["text", "model", "error"])
 
     return run.asNondeterministic()(prompt)
+
+
+Reader = Callable[[bytes], str]
+
+
+def plain_reader(content: bytes) -> str:
+    """Stand-in for a reader of pictures: the text that the bytes hold, empty for others."""
+    try:
+        return content.decode()
+    except UnicodeDecodeError:
+        return ""
+
+
+def read_images(content: Column, reader: Reader) -> Column:
+    """struct<text, error>: what a reader makes of the bytes of pictures; an error fails the picture, not the job."""
+
+    @F.pandas_udf("text string, error string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in s:
+            try:
+                rows.append((reader(bytes(c)), None) if c is not None else (None, "no content"))
+            except Exception as e:
+                rows.append((None, str(e)[:200]))
+        return pd.DataFrame(rows, columns=["text", "error"])
+
+    return run.asNondeterministic()(content)
+
+
+def backoff(attempt: Column, cap: float = 8.0) -> Column:
+    """Waiting units before an attempt: 1, 2, 4 and so on, ``cap`` at most."""
+    return F.least(F.pow(F.lit(2.0), attempt), F.lit(cap))

@@ -30,6 +30,11 @@ def context_text(ranked: DataFrame, qid: str) -> DataFrame:
     return ranked.groupBy(qid).agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("context"))
 
 
+def shown_sources(cited: DataFrame) -> DataFrame:
+    """The cited sources a reader sees: those with an address."""
+    return cited.where(F.coalesce("url", F.lit("")) != "")
+
+
 def sources(ranked: DataFrame, qid: str, cfg: Settings = DEFAULTS) -> DataFrame:
     """(qid, rank, doc, section, url, kind): what an answer cites.
 

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from .sparse import top_k
+from .topk import RunningTop
 
 
 def dense_topk(queries: DataFrame, points: DataFrame, qid: str, pid: str, vector: str, k: int, *, skip_self: bool = False, block_bytes: int = DEFAULTS.broadcast_bytes) -> DataFrame:
     """(qid, pid, score in millionths, rank); ties go to the lesser point.
 
     The queries are sent out in blocks of at most ``block_bytes``; every block is compared with all points by matrix
-    products, and each batch of points gives at most ``k`` candidates per query, so what is shuffled follows the number
-    of queries and batches, not of pairs.  Null vectors and vectors of length zero take no part.
+    products, and each task gives at most ``k`` candidates per query, so what is shuffled follows the number of queries and
+    tasks, not of pairs.  Null vectors and vectors of length zero take no part.
     """
     spark = queries.sparkSession
     usable = lambda df: df.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
@@ -39,22 +40,17 @@ def dense_topk(queries: DataFrame, points: DataFrame, qid: str, pid: str, vector
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, m = shared.value
+            top = RunningTop(len(ids), k)
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
                 x = np.array(pdf["v"].tolist(), np.float64)
                 norm = np.linalg.norm(x, axis=1)
                 x, own = x[norm > 0] / norm[norm > 0, None], pdf["p"].to_numpy()[norm > 0]
-                order = np.argsort(own, kind="stable")
-                x, own = x[order], own[order]
                 s = np.floor((m @ x.T) * 1e6 + 0.5).astype(np.int64)
-                if skip_self:
-                    s[ids[:, None] == own[None, :]] = -(1 << 60)
-                best = np.argsort(-s, axis=1, kind="stable")[:, : k + int(skip_self)]
-                rows = np.repeat(np.arange(len(ids)), best.shape[1])
-                hit = s[rows, best.ravel()]
-                ok = hit > -(1 << 60)
-                yield pd.DataFrame({"q": ids[rows][ok], "p": own[best.ravel()][ok], "score": hit[ok]})
+                top.add(s, own, ids[:, None] != own[None, :] if skip_self else None)
+            row, point, score = top.rows()
+            yield pd.DataFrame({"q": ids[row], "p": point, "score": score})
 
         found = p.mapInPandas(search, kinds)
         out = found if out is None else out.unionByName(found)

@@ -33,10 +33,24 @@ def checks(rows: DataFrame) -> DataFrame:
     })
 
 
+def percentage(part: Column, total: Column) -> Column:
+    """Per cent with one decimal, halves away from zero; null for an empty whole."""
+    return F.when(total > 0, F.round(100.0 * part / total, 1))
+
+
 def scores(checked: DataFrame) -> DataFrame:
-    """(grouping, chunk_type, topic, total, passed, sourced): by chunk type, by topic and over all, in one pass."""
-    checked.createOrReplaceTempView("_marlstone_checked")
-    return checked.sparkSession.sql("""
-        SELECT CASE WHEN grouping(chunk_type) = 0 THEN 'chunk_type' WHEN grouping(topic) = 0 THEN 'topic' ELSE 'all' END AS grouping,
-               chunk_type, topic, count(*) AS total, count_if(answer_pass) AS passed, count_if(source_pass) AS sourced
-        FROM _marlstone_checked GROUP BY GROUPING SETS ((chunk_type), (topic), ())""")
+    """(grouping, chunk_type, topic, total, passed, sourced, passed_percent, sourced_percent): by chunk type, by topic and over all, in one pass."""
+    by = F.when(F.grouping("chunk_type") == 0, "chunk_type").when(F.grouping("topic") == 0, "topic").otherwise("all")
+    counts = checked.groupingSets([["chunk_type"], ["topic"], []], "chunk_type", "topic").agg(by.alias("grouping"), F.count(F.lit(1)).alias("total"), F.count_if("answer_pass").alias("passed"), F.count_if("source_pass").alias("sourced"))
+    return counts.select("grouping", "chunk_type", "topic", "total", "passed", "sourced", percentage(F.col("passed"), F.col("total")).alias("passed_percent"), percentage(F.col("sourced"), F.col("total")).alias("sourced_percent"))
+
+
+def failures(checked: DataFrame, most: int = 5, words: int = 3) -> DataFrame:
+    """(id, question, missing): the first failed questions by id with the first of their missing keywords; the report's preview."""
+    gone = F.slice(missing_keywords(F.coalesce("answer", F.lit("")), F.col("expected_keywords")), 1, words)
+    return checked.where(~F.coalesce("answer_pass", F.lit(False))).select("id", "question", gone.alias("missing")).orderBy("id").limit(most)
+
+
+def report(scored: DataFrame) -> DataFrame:
+    """The scores in the order they are shown in: over all, then types and topics by name."""
+    return scored.orderBy(F.when(F.col("grouping") == "all", 0).when(F.col("grouping") == "chunk_type", 1).otherwise(2), F.coalesce("chunk_type", "topic", F.lit("")))

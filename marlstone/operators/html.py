@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "nav", "header", "footer", "noscript"}
+#: Containers that are skipped by their id.
+SKIPPED_IDS = {"header", "footer", "banners"}
 #: Characters kept of the block around a link.
 AROUND = 200
 BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "td", "th", "tr", "table", "ul", "ol", "div", "section", "article", "main", "title", "br"}
@@ -23,7 +25,10 @@ class Reader(HTMLParser):
         self.blocks: list[tuple[str, int, str]] = []
         self.links: list[tuple[str, str, int]] = []
         self.kind, self.level, self.text = "", 0, []
-        self.skip = 0
+        self.skip = ""  # tag that is being skipped, and how deep
+        self.depth = 0
+        self.images: list[tuple[str, str, int]] = []
+        self.pictured = False  # the open paragraph is that of a picture: its text does not count
         self.href: str | None = None
         self.anchor: list[str] = []
         self.row: list[str] | None = None
@@ -31,16 +36,28 @@ class Reader(HTMLParser):
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
+        if self.pictured:
+            self.text, self.kind, self.level, self.pictured = [], "", 0, False
+            return
         if text:
             self.blocks.append((self.kind or "p", self.level, text))
         self.text, self.kind, self.level = [], "", 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SKIPPED:
-            self.skip += 1
         if self.skip:
+            self.depth += tag == self.skip
+            return
+        if tag in SKIPPED or tag == "div" and dict(attrs).get("id") in SKIPPED_IDS:
+            self.skip, self.depth = tag, 1
             return
-        if tag == "table":
+        if tag == "img" and not self.pictured:
+            src = dict(attrs).get("src") or ""
+            if src:
+                self.flush()
+                self.images.append((src, dict(attrs).get("alt") or "", len(self.blocks)))
+                self.blocks.append(("image", len(self.images) - 1, src))
+                self.pictured = True
+        elif tag == "table":
             self.flush()
             self.rows = []
         elif tag == "tr" and self.rows is not None:
@@ -57,10 +74,10 @@ class Reader(HTMLParser):
             self.level = int(tag[1]) if self.kind == "heading" else 0
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-            return
         if self.skip:
+            self.depth -= tag == self.skip
+            if not self.depth:
+                self.skip = ""
             return
         if tag == "a" and self.href is not None:
             self.links.append((self.href, " ".join("".join(self.anchor).split()), len(self.blocks)))
@@ -103,14 +120,35 @@ def read(html: str) -> Reader:
 
 def markdown(r: Reader) -> str:
     """Blocks as markdown, blank lines between them."""
-    made = {"heading": lambda b: "#" * b[1] + " " + b[2], "li": lambda b: "- " + b[2]}
+    made = {"heading": lambda b: "#" * b[1] + " " + b[2], "li": lambda b: "- " + b[2], "image": lambda b: image_block(r, b[1])}
     return "\n\n".join(made.get(b[0], lambda b: b[2])(b) for b in r.blocks if b[0] != "title")
 
 
+def around_image(r: Reader, number: int, before: int = 150, after: int = 200) -> tuple[str, str, str]:
+    """(section, text before, text after) of a picture: the paragraph since the heading, and the next paragraph or list item."""
+    at = r.images[number][2]
+    section, earlier = "", ""
+    for kind, _, text in r.blocks[:at]:
+        if kind == "heading":
+            section, earlier = text, ""
+        elif kind == "p":  # lists do not count
+            earlier = text
+    later = next((b[2] for b in r.blocks[at + 1 :] if b[0] in ("p", "li")), "")
+    return section, earlier[:before], later[:after]
+
+
+def image_block(r: Reader, number: int) -> str:
+    """Marker of a picture with what stands around it."""
+    src = r.images[number][0]
+    _, before, after = around_image(r, number)
+    return f"[IMAGE:{src if not src.startswith('data:') else f'inline {number}'}]\nContext before: {before}\nContext after: {after}"
+
+
 def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, markdown, links ARRAY<STRUCT<pos, href, text, around>>) of every page; a null page gives empty fields.
+    """(key, title, markdown, links ARRAY<STRUCT<pos, href, text, around>>, images ARRAY<STRUCT<pos, src, alt, section, before, after>>) of every page.
 
-    ``around`` is the beginning of the block that a link stands in.
+    ``around`` is the beginning of the block that a link stands in.  Of a paragraph with pictures the first one stays and
+    its text does not count.  A null page gives empty fields.
     """
     kind = pages.schema[key].dataType.simpleString()
 
@@ -120,10 +158,10 @@ def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
             for k, h in zip(pdf["k"], pdf["h"]):
                 r = read(h or "")
                 title = next((b[2] for b in r.blocks if b[0] == "title"), "")
-                rows.append((k, title, markdown(r), [{"pos": i, "href": a, "text": t, "around": r.blocks[b][2][:AROUND] if b < len(r.blocks) else ""} for i, (a, t, b) in enumerate(r.links)]))
-            yield pd.DataFrame(rows, columns=["k", "title", "markdown", "links"])
+                rows.append((k, title, markdown(r), [{"pos": i, "href": a, "text": t, "around": r.blocks[b][2][:AROUND] if b < len(r.blocks) else ""} for i, (a, t, b) in enumerate(r.links)], [dict(zip(("pos", "src", "alt", "section", "before", "after"), (i, s, alt, *around_image(r, i)))) for i, (s, alt, _) in enumerate(r.images)]))
+            yield pd.DataFrame(rows, columns=["k", "title", "markdown", "links", "images"])
 
-    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, title string, markdown string, links array<struct<pos: int, href: string, text: string, around: string>>")
+    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, title string, markdown string, links array<struct<pos: int, href: string, text: string, around: string>>, images array<struct<pos: int, src: string, alt: string, section: string, before: string, after: string>>")
     return out.withColumnRenamed("k", key)
 
 

@@ -40,3 +40,20 @@ def crawl_levels(edges: DataFrame, roots: DataFrame, src: str, dst: str, max_rou
         visited = visited.unionByName(frontier)
         if level % CUT_EVERY == 0:
             visited = cut_lineage(visited)
+
+
+def reference_links(pages: DataFrame, key: str, links: str = "links") -> DataFrame:
+    """(url, link_text, surrounding_text, category, found_in, also_found_in): external links of extracted pages, each once.
+
+    The first place in order of page and position gives the text, the others are listed.
+    """
+    from ..functions.rules import classify_link
+    from ..functions.url import canonical, is_external
+
+    rows = pages.select(key, F.inline(links)).withColumn("url", canonical(F.col("href"))).where(is_external(F.col("url")))
+    rows = rows.groupBy("url", key).agg(F.min(F.struct("pos", "text", "around")).alias("at")).select("url", F.struct(F.col(key), F.col("at.pos"), F.col("at.text"), F.col("at.around")).alias("p"))
+    each = rows.groupBy("url").agg(F.array_sort(F.collect_list("p")).alias("ps")).withColumn("p", F.get("ps", F.lit(0)))
+    return each.select(
+        "url", F.col("p.text").alias("link_text"), F.col("p.around").alias("surrounding_text"), classify_link(F.col("url"), F.lit(""), F.col("p.around")).alias("category"),
+        F.col(f"p.{key}").alias("found_in"), F.transform(F.slice("ps", 2, 1 << 30), lambda x: x[key]).alias("also_found_in"),
+    )

@@ -13,7 +13,8 @@ from ..operators.context import context_text as context_texts
 from ..operators.context import sources
 from ..operators.dense import dense_topk as dense
 from ..operators.hybrid import expand_references, fuse, with_fallback
-from ..operators.sparse import sparse_scores, sparse_vectors, top_k
+from ..operators.sparse import packed_vectors
+from ..operators.sparse import sparse_topk as sparse
 from .scalar import WORDS_SQL, t
 
 #: A term product is far below a cosine, so the gate for citing is lower here.
@@ -31,8 +32,8 @@ def dense_topk(spark, d):
     return dense(q, e.withColumnRenamed("vec_id", "pid"), "qid", "pid", "embedding", 20, skip_self=True)
 
 
-def _questions(spark, d, text="question"):
-    return sparse_vectors(t(spark, d, "eval_questions").select("id", F.expr(text).alias("q")), "id", "q")
+def _questions(spark, d):
+    return packed_vectors(t(spark, d, "eval_questions"), "id", "question")
 
 
 def _chunk_texts(spark, d):
@@ -40,23 +41,24 @@ def _chunk_texts(spark, d):
 
 
 def _sparse(spark, d, k=20):
-    points = sparse_vectors(_chunk_texts(spark, d), "chunk_id", "text")
-    return top_k(sparse_scores(_questions(spark, d), points, "id", "chunk_id"), "id", k, F.desc("score"), "chunk_id")
+    return sparse(_questions(spark, d), packed_vectors(_chunk_texts(spark, d), "chunk_id", "text"), "id", "chunk_id", k)
 
 
 def sparse_topk(spark, d):
     return _sparse(spark, d)
 
 
-def _hybrid(spark, d, k, half=False):
+def _points(spark, d):
+    return packed_vectors(t(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"), "pid", "text")
+
+
+def _hybrid(spark, d, k, half=False, points=None):
     docs = t(spark, d, "documents").select("doc_id", "text")
     vectors = t(spark, d, "embeddings").withColumnRenamed("vec_id", "pid")
     asking = docs.join(_queries_by_vector(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     text = F.expr("substring(text, 1, length(text) div 2)") if half else F.col("text")
-    qs = sparse_vectors(asking.select(F.col("doc_id").alias("qid"), text.alias("text")), "qid", "text")
-    ps = sparse_vectors(docs.withColumnRenamed("doc_id", "pid"), "pid", "text")
-    scored = sparse_scores(qs, ps, "qid", "pid").where("qid <> pid")
-    s = top_k(scored, "qid", k, F.desc("score"), "pid")
+    qs = packed_vectors(asking.select(F.col("doc_id").alias("qid"), text.alias("text")), "qid", "text")
+    s = sparse(qs, points if points is not None else _points(spark, d), "qid", "pid", k, skip_self=True)
     v = dense(asking.select(F.col("doc_id").alias("qid"), "embedding"), vectors, "qid", "pid", "embedding", k, skip_self=True)
     return fuse(v, s, "qid", "pid")
 
@@ -67,7 +69,8 @@ def hybrid_topk(spark, d):
 
 def confidence_fallback(spark, d):
     """The first pass asks with half of the text; where that is weak, the whole text with more candidates may replace it."""
-    first, broad = cut_lineage(_hybrid(spark, d, 20, half=True)), cut_lineage(_hybrid(spark, d, 30))
+    points = cut_lineage(_points(spark, d))
+    first, broad = cut_lineage(_hybrid(spark, d, 20, half=True, points=points)), cut_lineage(_hybrid(spark, d, 30, points=points))
     return with_fallback(first, broad, "qid").where("rank <= 4").select("qid", "pid", "fused", "raw", "rank", "branch")
 
 

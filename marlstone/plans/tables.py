@@ -137,7 +137,7 @@ def eval_checks(spark, d):
 
 
 def eval_scores(spark, d):
-    return evaluation.scores(evaluation.checks(_answers(spark, d)))
+    return evaluation.scores(evaluation.checks(_answers(spark, d))).select("grouping", "chunk_type", "topic", "total", "passed", "sourced")
 
 
 def event_tumbling(spark, d):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
+from ..operators.chunking import first_wins
+from ..operators.links import CUT_EVERY
+from .files import exists
+
 LOGIN_SIGNS = ("Sign in", "accounts.google.com/signin")
 Fetcher = Callable[[str], tuple[int, str]]
 
@@ -38,13 +44,22 @@ def judge(status: int, body: str, login_signs: tuple[str, ...] = LOGIN_SIGNS) ->
     return "login wall" if any(s in body for s in login_signs) else None
 
 
-def fetch_pages(urls: DataFrame, url: str, fetch: Fetcher) -> DataFrame:
-    """(url, html, reason): pages in the order of the input's partitions; ``reason`` is null where the page is kept."""
+def fetch_pages(urls: DataFrame, url: str, fetch: Fetcher, *, pause: float = 0.0, parallel: int | None = None) -> DataFrame:
+    """(url, html, reason): pages in the order of the input's partitions; ``reason`` is null where the page is kept.
+
+    At most ``parallel`` tasks fetch at a time, each waiting ``pause`` seconds before its next page.
+    """
+    if parallel:
+        urls = urls.repartition(parallel)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started = False
         for pdf in batches:
             rows = []
             for u in pdf["u"]:
+                if pause and started:
+                    time.sleep(pause)
+                started = True
                 try:
                     status, body = fetch(u)
                     why = judge(status, body)
@@ -56,23 +71,53 @@ def fetch_pages(urls: DataFrame, url: str, fetch: Fetcher) -> DataFrame:
     return urls.select(F.col(url).alias("u")).mapInPandas(run, "url string, html string, reason string")
 
 
-def crawl(roots: DataFrame, fetch: Fetcher, links_of: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
-    """(url, level, html, reason) of all pages reached: each round fetches the frontier once and cuts lineage.
+def crawl(roots: DataFrame, fetch: Fetcher, links_of: Callable[[DataFrame], DataFrame], max_rounds: int | None = None, *, state: str | None = None, follow: Callable[[Column], Column] | None = None, pause: float = 0.0, parallel: int | None = None) -> DataFrame:
+    """(url, html, reason, level) of all pages reached: each round fetches the frontier once and cuts lineage.
 
-    ``links_of`` gives (url) found on fetched pages.  Failed pages count as visited and are not fetched again.
-    There is no depth limit unless ``max_rounds`` is given; meeting it with pages left is an error.
+    ``links_of`` gives (url) found on fetched pages; ``follow`` says which of them are pages to fetch.  Failed pages count
+    as visited and are not fetched again.  There is no depth limit unless ``max_rounds`` is given; meeting it with pages
+    left is an error.  With a folder ``state`` every level's pages and frontier are written there, and a crawl that was
+    broken off goes on behind the last whole level; without one they are cut to the shared folder and go with the process.
     """
-    from ..lineage import cut_lineage
-    from ..operators.links import CUT_EVERY
+    spark = roots.sparkSession
+    columns = "url string, html string, reason string, level int"
+
+    def write(df: DataFrame, kind: str, level: int) -> DataFrame:
+        if state is None:
+            return cut_lineage(df)
+        path = f"{state}/{kind}/{level:06d}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def whole(kind: str, level: int) -> bool:
+        return state is not None and exists(spark, f"{state}/{kind}/{level:06d}/_SUCCESS")
 
-    frontier, visited = roots.select(F.col(roots.columns[0]).alias("url")).distinct(), None
+    frontier, visited = roots.select(F.col(roots.columns[0]).alias("url")).where("url IS NOT NULL").distinct(), None
     for level in count():
-        pages = cut_lineage(fetch_pages(frontier, "url", fetch).withColumn("level", F.lit(level)))
+        if whole("pages", level):
+            pages = spark.read.schema(columns).parquet(f"{state}/pages/{level:06d}")
+        else:
+            pages = write(fetch_pages(frontier, "url", fetch, pause=pause, parallel=parallel).withColumn("level", F.lit(level)), "pages", level)
         visited = pages if visited is None else visited.unionByName(pages)
-        frontier = cut_lineage(links_of(pages.where("reason IS NULL")).select("url").where("url IS NOT NULL AND url <> ''").distinct().join(visited.select("url"), "url", "left_anti"))
+        if whole("frontier", level):
+            frontier = spark.read.schema("url string").parquet(f"{state}/frontier/{level:06d}")
+        else:
+            found = links_of(pages.where("reason IS NULL")).select("url").where("url IS NOT NULL AND url <> ''")
+            if follow is not None:
+                found = found.where(follow(F.col("url")))
+            frontier = write(found.distinct().join(visited.select("url"), "url", "left_anti"), "frontier", level)
         if frontier.isEmpty():
             return visited
         if level + 1 == max_rounds:
             raise RuntimeError(f"pages are left after {max_rounds} rounds")
-        if (level + 1) % CUT_EVERY == 0:
+        if state is None and (level + 1) % CUT_EVERY == 0:
             visited = cut_lineage(visited)
+
+
+def restricted_links(links: DataFrame, pages: DataFrame, order: str) -> DataFrame:
+    """The links whose page was rejected, each URL once at its first place by ``order``, with ``skip_reason``.
+
+    ``links`` has url, found_in_doc, section, breadcrumb, source_url, surrounding_text; ``pages`` is what a crawl gave.
+    """
+    failed = pages.where("reason IS NOT NULL").groupBy("url").agg(F.min("reason").alias("skip_reason"))
+    return first_wins(links.join(failed, "url"), "url", order).withColumn("access", F.lit("restricted"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
+from ..sources.files import exists
+
 
 def read_stream(spark: SparkSession, folder: str, schema: str | object, *, files_per_batch: int | None = None) -> DataFrame:
     """New Parquet files of a folder, as a stream."""
@@ -14,31 +17,61 @@ def read_stream(spark: SparkSession, folder: str, schema: str | object, *, files
     return reader.parquet(folder)
 
 
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str, order: str):
-    """Upserts every batch into a Parquet table: two folders take turns, so a reader never sees a half-written table.
+def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str, order: str, buckets: int = 64):
+    """Upserts every batch into a Parquet table of hash buckets; only the buckets that a batch touches are written anew.
 
-    A batch that is repeated after a failure writes the same rows again.
+    Each batch writes to a folder of its own and then notes which buckets it replaced, so a reader never sees a half-written
+    table.  A batch that is repeated after a failure starts from the table before it and writes the same rows again.
+    Superseded folders stay until :func:`vacuum`.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         from ..operators.incremental import upsert
 
         spark = batch.sparkSession
-        old, new = f"{target}/v{(batch_id + 1) % 2}", f"{target}/v{batch_id % 2}"
-        try:
-            table = spark.read.schema(batch.schema).parquet(old) if batch_id else spark.createDataFrame([], batch.schema)
-        except Exception:
-            table = spark.createDataFrame([], batch.schema)
-        upsert(table, batch, key, order).write.mode("overwrite").parquet(new)
-        spark.createDataFrame([(batch_id, new)], "batch_id long, path string").coalesce(1).write.mode("append").json(f"{target}/versions")
+        rows = cut_lineage(batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]
+        if not touched:
+            return
+        paths = [p for b, p in _versions(spark, target, batch_id).items() if b in touched]
+        table = spark.read.schema(batch.schema).parquet(*paths) if paths else spark.createDataFrame([], batch.schema)
+        merged = upsert(table, rows.drop("_bucket"), key, order).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/v{batch_id}")
+        spark.createDataFrame([(batch_id, b) for b in touched], "batch_id long, bucket int").coalesce(1).write.mode("append").json(f"{target}/versions")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_table(spark: SparkSession, target: str) -> DataFrame:
-    """The table as of the last finished batch."""
-    last = spark.read.schema("batch_id long, path string").json(f"{target}/versions").orderBy(F.desc("batch_id")).first()
-    return spark.read.parquet(last["path"])
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """Folder of every bucket (as many as there are buckets), as of the last batch or of the one before ``before``."""
+    if not exists(spark, f"{target}/versions"):
+        return {}
+    noted = spark.read.schema("batch_id long, bucket int").json(f"{target}/versions")
+    last = noted.where(F.lit(True) if before is None else F.col("batch_id") < before).groupBy("bucket").agg(F.max("batch_id").alias("v")).collect()
+    return {r["bucket"]: f"{target}/v{r['v']}/_bucket={r['bucket']}" for r in last}
+
+
+def current_table(spark: SparkSession, target: str, schema: str | object | None = None) -> DataFrame:
+    """The table as of the last finished batch; before the first one an empty table of the given schema."""
+    paths = list(_versions(spark, target).values())
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*paths)
+
+
+def vacuum(spark: SparkSession, target: str) -> int:
+    """Deletes folders that no bucket points to any more; their number.  Not to be run beside readers of older states."""
+    live, gone = set(_versions(spark, target).values()), 0
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for version in fs.listStatus(root):
+        name = version.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit():
+            for part in fs.listStatus(version.getPath()):
+                if part.isDirectory() and f"{target}/{name}/{part.getPath().getName()}" not in live:
+                    fs.delete(part.getPath(), True)
+                    gone += 1
+    return gone
 
 
 def tumbling_counts(events: DataFrame, ts: str, kind: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
