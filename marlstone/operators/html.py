@@ -53,6 +53,8 @@ class Reader(HTMLParser):
         if tag == "img" and not self.pictured:
             src = dict(attrs).get("src") or ""
             if src:
+                if self.kind == "p":
+                    self.text = []
                 self.flush()
                 self.images.append((src, dict(attrs).get("alt") or "", len(self.blocks)))
                 self.blocks.append(("image", len(self.images) - 1, src))

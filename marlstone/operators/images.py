@@ -87,6 +87,5 @@ def image_records(rows: DataFrame, order: str) -> DataFrame:
     """
     named = image_names(rows.where(F.col("content").isNotNull()), order, "extension")
     return named.select(
-        F.col("file").alias("filename"), "section", F.col("before").alias("surrounding_before"), F.col("after").alias("surrounding_after"), size_kb(F.col("content")).alias("file_size_kb"), "image_hash", "content", order,
-        F.lit(True).alias("needs_ocr"),
+        F.col("file").alias("filename"), "section", F.col("before").alias("surrounding_before"), F.col("after").alias("surrounding_after"), size_kb(F.col("content")).alias("file_size_kb"), "image_hash", "content", F.lit(True).alias("needs_ocr"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
-from ..operators.chunking import detect_references, document_chunks, first_wins, image_chunks, link_chunks, pack_paragraphs, restricted_chunks, union_chunks
+from ..operators.chunking import detect_references, first_wins, image_chunks, link_chunks, pack_paragraphs, restricted_chunks, union_chunks
 from ..operators.sections import breadcrumbs as breadcrumb_paths
 from ..operators.sections import headings, split_sections, with_metadata
 from ..operators.sections import section_index as index_text
@@ -44,7 +44,7 @@ def table_linearise(spark, d):
 
 
 def table_split(spark, d):
-    rows = _docs(spark, d).where("text LIKE '%|---%'").select("doc_id", F.inline(split_tables(F.col("text"))))
+    rows = _docs(spark, d).select("doc_id", F.inline(split_tables(F.col("text"))))
     return rows.groupBy("doc_id", "is_table").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("part")).cast("bigint").alias("chars"))
 
 
@@ -60,19 +60,13 @@ def cross_references(spark, d):
     return refs.select("chunk_id", F.array_join("references", "; ").alias("refs"))
 
 
-def chunk_pipeline(spark, d):
-    """Documents to deduplicated chunks, section indexes included."""
-    chunks = document_chunks(t(spark, d, "documents"), "doc_id", "text", "doc_title", "source_url")
-    return first_wins(chunks, "chunk_id", "doc_id", "ord")
-
-
 def union_chunk_sources(spark, d):
     every = union_chunks(image=image_chunks(t(spark, d, "image_metadata")), reference_link=link_chunks(t(spark, d, "reference_links")), restricted_doc=restricted_chunks(t(spark, d, "restricted_links")))
     kept = first_wins(every, "chunk_id", "source_rank", "src", "content", "embed_text")
     return kept.select("chunk_id", "chunk_type", "source_rank", "token_count", F.md5("content").alias("content_hash"), F.md5("embed_text").alias("embed_hash"))
 
 
-QUERIES = {f.__name__: f for f in (section_split, meta_carry, breadcrumbs, section_index, table_linearise, table_split, packed_paragraphs, cross_references, chunk_pipeline, union_chunk_sources)}
+QUERIES = {f.__name__: f for f in (section_split, meta_carry, breadcrumbs, section_index, table_linearise, table_split, packed_paragraphs, cross_references, union_chunk_sources)}
 
 LINES = """l AS (SELECT doc_id, coalesce(doc_title, '') AS title, coalesce(source_url, '') AS durl, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
     f AS (SELECT *, regexp_matches(line, '(?s)^#{1,4}[^\\S\\n].') AS h, regexp_matches(line, '^[^\\S\\n]*<!-- meta') AS m FROM l),
@@ -101,7 +95,7 @@ ORACLES = {
     "section_index": f"WITH {HEADS} SELECT doc_id, '# Section Index: ' || title || chr(10) || chr(10) || array_to_string(list_transform(hs, lambda h: repeat('  ', h.level - 1) || '- ' || h.title), chr(10)) AS content FROM hh WHERE len(hs) > 0",
     "table_linearise": f"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, {RUN_SQL}, 1)) AS tab, generate_subscripts(regexp_extract_all(text, {RUN_SQL}, 1), 1) AS n FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, n, tab, {CELLS.replace('{0}', 'tab')} AS rs FROM x)
         SELECT doc_id, n, md5(CASE WHEN len(rs) = 0 THEN tab ELSE array_to_string(list_concat([array_to_string(rs[1], ' | ')], list_transform(rs[2:], lambda r: array_to_string(list_transform(r, lambda v, i: CASE WHEN i <= len(rs[1]) THEN rs[1][i] || ': ' || v ELSE v END), ', '))), chr(10)) END) AS hash FROM y""",
-    "table_split": f"""WITH x AS (SELECT doc_id, string_split_regex(text, '\\n\\|[^\\n]+\\|(?:\\n\\|[^\\n]+\\|)*') AS ts, regexp_extract_all(text, {RUN_SQL}, 1) AS tabs FROM documents WHERE contains(text, '|---')), p AS (SELECT doc_id, unnest(list_concat(ts, tabs)) AS part FROM x), q AS (SELECT doc_id, {sql_strip('part')} AS part FROM p)
+    "table_split": f"""WITH x AS (SELECT doc_id, string_split_regex(text, '\\n\\|[^\\n]+\\|(?:\\n\\|[^\\n]+\\|)*') AS ts, regexp_extract_all(text, {RUN_SQL}, 1) AS tabs FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(list_concat(ts, tabs)) AS part FROM x), q AS (SELECT doc_id, {sql_strip('part')} AS part FROM p)
         SELECT doc_id, starts_with(part, '|') OR contains(part, '|---') AS is_table, count(*) AS n, sum(length(part))::BIGINT AS chars FROM q WHERE part <> '' GROUP BY ALL""",
     "packed_paragraphs": f"""WITH RECURSIVE a AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\n+'), lambda p: {sql_strip('p')}), lambda p: p <> '') AS ps FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM a),
         r AS (SELECT doc_id, n, p, 1 AS batch, length(p) // 4 AS tok FROM p WHERE n = 1 UNION ALL SELECT p.doc_id, p.n, p.p, CASE WHEN r.tok + length(p.p) // 4 > 512 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.tok + length(p.p) // 4 > 512 THEN length(p.p) // 4 ELSE r.tok + length(p.p) // 4 END FROM r JOIN p ON p.doc_id = r.doc_id AND p.n = r.n + 1)

@@ -11,6 +11,7 @@ from ..lineage import cut_lineage
 from ..operators.chunking import first_wins
 from ..operators.context import context_text as context_texts
 from ..operators.context import sources
+from ..operators.conversation import rewrite_prompt
 from ..operators.dense import dense_topk as dense
 from ..operators.hybrid import expand_references, fuse, with_fallback
 from ..operators.sparse import packed_vectors
@@ -48,17 +49,12 @@ def sparse_topk(spark, d):
     return _sparse(spark, d)
 
 
-def _points(spark, d):
-    return packed_vectors(t(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"), "pid", "text")
-
-
-def _hybrid(spark, d, k, half=False, points=None):
+def _hybrid(spark, d, k):
     docs = t(spark, d, "documents").select("doc_id", "text")
     vectors = t(spark, d, "embeddings").withColumnRenamed("vec_id", "pid")
     asking = docs.join(_queries_by_vector(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    text = F.expr("substring(text, 1, length(text) div 2)") if half else F.col("text")
-    qs = packed_vectors(asking.select(F.col("doc_id").alias("qid"), text.alias("text")), "qid", "text")
-    s = sparse(qs, points if points is not None else _points(spark, d), "qid", "pid", k, skip_self=True)
+    qs = packed_vectors(asking.select(F.col("doc_id").alias("qid"), "text"), "qid", "text")
+    s = sparse(qs, packed_vectors(docs.withColumnRenamed("doc_id", "pid"), "pid", "text"), "qid", "pid", k, skip_self=True)
     v = dense(asking.select(F.col("doc_id").alias("qid"), "embedding"), vectors, "qid", "pid", "embedding", k, skip_self=True)
     return fuse(v, s, "qid", "pid")
 
@@ -68,10 +64,16 @@ def hybrid_topk(spark, d):
 
 
 def confidence_fallback(spark, d):
-    """The first pass asks with half of the text; where that is weak, the whole text with more candidates may replace it."""
-    points = cut_lineage(_points(spark, d))
-    first, broad = cut_lineage(_hybrid(spark, d, 20, half=True, points=points)), cut_lineage(_hybrid(spark, d, 30, points=points))
-    return with_fallback(first, broad, "qid").where("rank <= 4").select("qid", "pid", "fused", "raw", "rank", "branch")
+    """The first pass asks with the question made to stand alone by the last turns; where that is weak, the plain question with more candidates may replace it.
+
+    Questions have no vectors here, so both passes rest on the sparse side.
+    """
+    q = t(spark, d, "eval_questions").select("id", "question", F.when(F.size("history") > 0, rewrite_prompt(F.col("history"), F.col("question"))).otherwise(F.col("question")).alias("standalone"))
+    points = cut_lineage(packed_vectors(_chunk_texts(spark, d), "chunk_id", "text"))
+    none = spark.createDataFrame([], "id string, chunk_id string, score bigint, rank int")
+    ask = lambda text, k: fuse(none, sparse(packed_vectors(q, "id", text), points, "id", "chunk_id", k), "id", "chunk_id")
+    first, broad = cut_lineage(ask("standalone", 20)), cut_lineage(ask("question", 30))
+    return with_fallback(first, broad, "id").where("rank <= 4").select("id", "chunk_id", "fused", "raw", "rank", "branch")
 
 
 def _chunk_rows(spark, d):
@@ -131,8 +133,11 @@ ORACLES = {
     "dense_topk": f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM ({_DENSE}) QUALIFY rank <= 20",
     "sparse_topk": f"WITH {_SPARSE} SELECT * FROM sp WHERE rank <= 20",
     "hybrid_topk": f"WITH {_hybrid_sql('xa', 20, 'text')} SELECT qid, pid, fused, raw, dense_rank, sparse_rank, rank FROM xah WHERE rank <= 20",
-    "confidence_fallback": f"""WITH {_hybrid_sql('xa', 20, 'substr(text, 1, length(text) // 2)')}, {_hybrid_sql('xb', 30, 'text')}, m AS (SELECT x.qid, x.t1 < 3000000 AND coalesce(y.t2, -1) > x.t1 AS broad FROM (SELECT qid, max(fused) AS t1 FROM xah GROUP BY qid) x LEFT JOIN (SELECT qid, max(fused) AS t2 FROM xbh GROUP BY qid) y ON x.qid = y.qid)
-        SELECT qid, pid, fused, raw, rank, 'first' AS branch FROM xah JOIN m USING (qid) WHERE NOT broad AND rank <= 4 UNION ALL SELECT qid, pid, fused, raw, rank, 'broad' FROM xbh JOIN m USING (qid) WHERE broad AND rank <= 4""",
+    "confidence_fallback": "WITH eq AS (SELECT id, question, CASE WHEN len(history) > 0 THEN array_to_string(list_transform(history[-2:], lambda m: m.role || ': ' || m.content), chr(10)) || chr(10) || 'Question: ' || question ELSE question END AS standalone FROM eval_questions), ct AS (SELECT chunk_id, min(embed_text) AS text FROM all_chunks WHERE embed_text IS NOT NULL GROUP BY chunk_id), "
+    + ", ".join([_terms("pt", "ct", "chunk_id", "text"), _terms("qa", "eq", "id", "standalone"), _terms("qb", "eq", "id", "question")])
+    + f", fa AS (SELECT qid AS id, pid AS chunk_id, score * 3 AS fused, score AS raw, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM ({_score('qa', 'pt')}) QUALIFY rank <= 20), fb AS (SELECT qid AS id, pid AS chunk_id, score * 3 AS fused, score AS raw, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM ({_score('qb', 'pt')}) QUALIFY rank <= 30)"
+    + """, m AS (SELECT x.id, x.t1 < 3000000 AND coalesce(y.t2, -1) > x.t1 AS broad FROM (SELECT id, max(fused) AS t1 FROM fa GROUP BY id) x LEFT JOIN (SELECT id, max(fused) AS t2 FROM fb GROUP BY id) y ON x.id = y.id)
+        SELECT id, chunk_id, fused, raw, rank, 'first' AS branch FROM fa JOIN m USING (id) WHERE NOT broad AND rank <= 4 UNION ALL SELECT id, chunk_id, fused, raw, rank, 'broad' FROM fb JOIN m USING (id) WHERE broad AND rank <= 4""",
     "crossref_expand": f"""WITH {_SPARSE}, {_ROWS}, x AS (SELECT chunk_id, array_to_string(list_reverse(list_reverse(string_split(section, ' '))[1:2]), ' ') AS section, "references" FROM cr), r AS (SELECT DISTINCT sp.id, unnest(x."references"[1:3]) AS section FROM sp JOIN x USING (chunk_id) WHERE rank <= 4),
         n AS (SELECT DISTINCT r.id, x.chunk_id FROM r JOIN x ON x.section = r.section) SELECT id, chunk_id FROM n WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.id = n.id AND sp.chunk_id = n.chunk_id AND sp.rank <= 4) QUALIFY row_number() OVER (PARTITION BY id ORDER BY chunk_id) <= 5""",
     "context_sources": f"""WITH {_SPARSE}, {_ROWS}, k AS (SELECT sp.id, sp.rank, sp.score, cr.*, CASE WHEN chunk_type IN ('text', 'table', 'section_index') THEN 'document' WHEN chunk_type = 'image' THEN 'image' WHEN chunk_type = 'reference_link' THEN 'link' ELSE 'restricted' END AS kind FROM sp JOIN cr ON cr.chunk_id = sp.chunk_id WHERE rank <= 4),

@@ -87,7 +87,7 @@ def image_block_strip(spark, d):
 
 def image_classes(spark, d):
     rows = t(spark, d, "image_metadata").select("filename", classify_image(F.col("image_content"), F.col("file_size_kb") * 1024).alias("class"), "image_content", "file_size_kb")
-    return rows.where("file_size_kb IS NOT NULL").select("filename", "class").distinct()
+    return rows.select("filename", "class").distinct()
 
 
 def scan_statistics(spark, d):
@@ -165,7 +165,7 @@ def _oracles() -> dict[str, str]:
         "cleaned_texts": "SELECT doc_id, md5(" + sql_strip(r"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, '\n{3,}', E'\n\n', 'g'), '[\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), chr(160), ' '), 'Report abuse|Learn more', '', 'g'), '\[\]\(#[^)]*\)|\[ \]', '', 'g'), '[ \t]+\n', E'\n', 'g')") + ") AS hash FROM documents WHERE text IS NOT NULL",
         "image_block_strip": "SELECT doc_id, length(" + sql_strip(r"regexp_replace(text, '(?s)\[IMAGE:[^\]]+\].*$', '')") + ")::INT AS n FROM documents WHERE contains(text, '[IMAGE:')",
         "image_classes": f"""SELECT DISTINCT filename, CASE WHEN length(trim(x)) < 10 OR file_size_kb * 1024 < 500 THEN 'image_empty' WHEN {_sum_contains('lower(x)', TABLE_SIGNS)} >= 2 OR length(x) - length(replace(x, '|', '')) >= 3 THEN 'image_table'
-            WHEN {_sum_contains('lower(x)', DIAGRAM_SIGNS)} >= 2 THEN 'image_diagram' ELSE 'image_text' END AS class FROM (SELECT filename, coalesce(image_content, '') AS x, file_size_kb FROM image_metadata WHERE file_size_kb IS NOT NULL)""",
+            WHEN {_sum_contains('lower(x)', DIAGRAM_SIGNS)} >= 2 THEN 'image_diagram' ELSE 'image_text' END AS class FROM (SELECT filename, coalesce(image_content, '') AS x, file_size_kb FROM image_metadata)""",
         "scan_statistics": "SELECT scan_method, count(*) AS n, count(*) FILTER (image_content IS NULL) AS n_unread, count(*) FILTER (is_decorative) AS n_decorative, count(*) FILTER (coalesce(needs_ocr, true)) AS n_to_scan, count(*) FILTER (scan_error IS NOT NULL) AS n_errors FROM image_metadata GROUP BY scan_method",
         "link_classes": f"SELECT DISTINCT url, section, {_link_sql()} AS class FROM (SELECT url, section, lower(coalesce(url, '')) AS u, lower(coalesce(section, '')) || ' ' || lower(coalesce(surrounding_text, '')) AS c FROM reference_links)",
         "off_topic_router": "SELECT id, " + " OR ".join(f"contains(trim(lower(question)), '{p}')" for p in OFF_TOPIC) + " AS off_topic FROM eval_questions",

@@ -31,7 +31,7 @@ def duplicate_count(spark, d):
 
 
 def type_counts_zero_filled(spark, d):
-    return quality.counts_by_type(t(spark, d, "all_chunks").where("doc_title IS NULL"))
+    return quality.counts_by_type(t(spark, d, "all_chunks"))
 
 
 def quality_report(spark, d):
@@ -140,12 +140,6 @@ def eval_scores(spark, d):
     return evaluation.scores(evaluation.checks(_answers(spark, d))).select("grouping", "chunk_type", "topic", "total", "passed", "sourced")
 
 
-def event_tumbling(spark, d):
-    """Extension: events per hour and type."""
-    e = t(spark, d, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def event_sessions(spark, d):
     """Extension: sessions of a user end after 30 minutes without an event."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -166,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         first_wins_dedup, upsert_last_wins, duplicate_count, type_counts_zero_filled, quality_report, embedding_report, reuse_or_todo, todo_by_type, link_contexts, crawl_levels, html_extract, page_contents, page_links, collection_stats, history_window, last_user_message,
-        prompt_messages, sse_encode, sse_fold, eval_checks, eval_scores, event_tumbling, event_sessions, revenue_by_nation,
+        prompt_messages, sse_encode, sse_fold, eval_checks, eval_scores, event_sessions, revenue_by_nation,
     )
 }
 
@@ -180,7 +174,7 @@ ORACLES = {
     "first_wins_dedup": "SELECT chunk_id, loaded_at, doc_title, section FROM all_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at NULLS LAST, doc_title NULLS LAST, section NULLS LAST) = 1",
     "upsert_last_wins": "SELECT ('0x' || substr(md5(chunk_id), 1, 8))::BIGINT AS point_id, chunk_id, loaded_at, doc_title, section FROM all_chunks QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY loaded_at DESC NULLS LAST, doc_title NULLS LAST, section NULLS LAST, chunk_id) = 1",
     "duplicate_count": "SELECT chunk_type, count(*) AS n_rows, count(DISTINCT chunk_id) AS n_ids, count(*) - count(DISTINCT chunk_id) AS n_removed FROM all_chunks GROUP BY chunk_type",
-    "type_counts_zero_filled": f"SELECT x.chunk_type, count(a.chunk_id) AS n FROM (VALUES ({_TYPES})) x(chunk_type) LEFT JOIN (SELECT * FROM all_chunks WHERE doc_title IS NULL) a ON a.chunk_type = x.chunk_type GROUP BY x.chunk_type",
+    "type_counts_zero_filled": f"SELECT x.chunk_type, count(a.chunk_id) AS n FROM (VALUES ({_TYPES})) x(chunk_type) LEFT JOIN (SELECT * FROM all_chunks) a ON a.chunk_type = x.chunk_type GROUP BY x.chunk_type",
     "quality_report": "SELECT count(*) AS n_rows, count(DISTINCT chunk_id) AS n_ids, count(*) - count(DISTINCT chunk_id) AS n_duplicates, " + ", ".join(f"count(*) FILTER ({c} IS NULL OR trim({c}) = '') AS no_{c}" for c in ("content", "embed_text", "doc_title", "section", "source_url")) + ", (coalesce(sum(token_count), 0) // greatest(count(*), 1))::BIGINT AS mean_tokens, count(*) FILTER (len(\"references\") > 0) AS n_with_references, count(*) FILTER (len(hyde_questions) > 0) AS n_with_questions, coalesce(sum(len(hyde_questions)), 0)::BIGINT AS n_questions FROM all_chunks",
     "embedding_report": "SELECT count(*) AS n_rows, count(*) FILTER (embedding IS NULL) AS n_missing, count(*) FILTER (len(embedding) <> 64) AS n_wrong_length, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0) AS n_not_finite, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x = 0)) = 64) AS n_zero FROM all_chunks_embedded",
     "reuse_or_todo": "SELECT c.chunk_id, c.chunk_type, CASE WHEN e.chunk_id IS NULL THEN 'todo' ELSE 'done' END AS status FROM (SELECT DISTINCT chunk_id, chunk_type FROM all_chunks) c LEFT JOIN (SELECT DISTINCT chunk_id FROM all_chunks_embedded WHERE embedding IS NOT NULL) e ON e.chunk_id = c.chunk_id",
@@ -198,7 +192,6 @@ ORACLES = {
     "sse_fold": "SELECT id, array_to_string(list_transform(string_split(question, ' '), lambda w: w || ' '), '') AS answer, coalesce(expected_source, '-') AS sources FROM eval_questions",
     "eval_checks": f"WITH {_CHECK} SELECT id, chunk_type, topic, answer_pass, source_pass, f::INT AS n_found, (n - f)::INT AS n_missing FROM cc",
     "eval_scores": f"WITH {_CHECK} SELECT CASE WHEN grouping(chunk_type) = 0 THEN 'chunk_type' WHEN grouping(topic) = 0 THEN 'topic' ELSE 'all' END AS \"grouping\", chunk_type, topic, count(*) AS total, count(*) FILTER (answer_pass) AS passed, count(*) FILTER (source_pass) AS sourced FROM cc GROUP BY GROUPING SETS ((chunk_type), (topic), ())",
-    "event_tumbling": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "event_sessions": "WITH g AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), s AS (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL",
     "revenue_by_nation": "SELECT n_name, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 1000 GROUP BY n_name",
 }
