@@ -21,7 +21,7 @@ from . import documents, retrieval, scalar, tables
 from .documents import CELLS, LINES, RUN_SQL, _meta
 from .scalar import sql_strip, t
 
-NL, E = "chr(10)", F.lit("")
+NL = "chr(10)"
 
 
 def chunk_pipeline(spark, d):
@@ -52,7 +52,7 @@ def clean_titles(spark, d):
 
 def heading_lines(spark, d):
     rows = t(spark, d, "all_chunks").where("heading IS NOT NULL AND heading_level IS NOT NULL").select("heading_level", "heading", "section").distinct()
-    number = F.regexp_extract(F.coalesce("section", E), r"^([0-9]+(?:\.[0-9]+)*)", 1)
+    number = F.regexp_extract(F.coalesce("section", F.lit("")), r"^([0-9]+(?:\.[0-9]+)*)", 1)
     return rows.select("heading_level", "heading", "section", heading_line(F.col("heading_level"), F.col("heading"), number).alias("line"))
 
 
@@ -61,12 +61,12 @@ def table_flags(spark, d):
 
 
 def front_matter_blocks(spark, d):
-    c = lambda x: F.coalesce(x, E)
+    c = lambda x: F.coalesce(x, F.lit(""))
     return t(spark, d, "doc_registry").distinct().select("url", F.md5(front_matter_block(c("title"), c("url"), c("parent"), c("scraped_at"))).alias("hash"))
 
 
 def meta_comments(spark, d):
-    c = lambda x: F.coalesce(x, E)
+    c = lambda x: F.coalesce(x, F.lit(""))
     rows = t(spark, d, "all_chunks").select("chunk_id", "doc_title", "section", "breadcrumb", "source_url").distinct()
     return rows.select("chunk_id", F.md5(meta_comment(c("doc_title"), c("section"), c("breadcrumb"), c("source_url"))).alias("hash"))
 
@@ -97,7 +97,7 @@ def next_ids(spark, d):
 
 
 def image_files(spark, d):
-    rows = t(spark, d, "image_metadata").where("filename IS NOT NULL").select("filename", F.coalesce("image_content", E).alias("content"), F.regexp_extract("filename", r"\.([a-z]+)$", 1).alias("extension"))
+    rows = t(spark, d, "image_metadata").where("filename IS NOT NULL").select("filename", F.coalesce("image_content", F.lit("")).alias("content"), F.regexp_extract("filename", r"\.([a-z]+)$", 1).alias("extension"))
     return image_names(rows, "filename", "extension").select("filename", "file", "image_hash")
 
 
@@ -148,7 +148,7 @@ def shown_source_rows(spark, d):
 
 def _picture_pages(spark, d):
     """One page per picture: a menu to be skipped, a heading, a paragraph, the picture in a paragraph of its own, a paragraph."""
-    safe = lambda c: F.replace(F.replace(F.coalesce(c, E), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     rows = t(spark, d, "image_metadata").where("filename IS NOT NULL").select("filename", "section", "surrounding_before", "surrounding_after").distinct()
     page = F.concat(
         F.lit('<div id="banners"><div>Menu</div><img src="https://x.example/logo.png"></div><h1>'), safe("section"), F.lit("</h1><p>"), safe("surrounding_before"),
