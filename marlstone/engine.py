@@ -15,7 +15,7 @@ from .models import Chat, Embedder, complete, embed_column, extractive_chat, has
 from .operators import evaluation
 from .operators.chunking import detect_references, document_chunks, first_wins, image_chunks, link_chunks, restricted_chunks, union_chunks
 from .operators.context import context_text, sources
-from .operators.conversation import rewrite_prompt
+from .operators.conversation import standalone
 from .operators.dense import dense_topk
 from .operators.hybrid import expand_references, fuse, with_fallback
 from .operators.sparse import packed_vectors, sparse_topk
@@ -26,10 +26,11 @@ APOLOGY, GREETING = "No matching passage was found.", "Ask me about the document
 class Engine:
     """Chunks, vectors and retrieval over one set of tables."""
 
-    def __init__(self, spark: SparkSession, cfg: Settings = DEFAULTS, embedder: Embedder | None = None, chat: Chat = extractive_chat) -> None:
+    def __init__(self, spark: SparkSession, cfg: Settings = DEFAULTS, embedder: Embedder | None = None, chat: Chat = extractive_chat, rewriter: Chat | None = None, hints: dict[str, str] | None = None) -> None:
         if bad := cfg.validate():
             raise ValueError(f"settings out of range: {bad}")
         self.spark, self.cfg, self.embedder, self.chat = spark, cfg, embedder or hashed_embedder(cfg.dimension), chat
+        self.rewriters, self.hints = [("rewriter", rewriter)] if rewriter else None, hints
         self.chunks: DataFrame | None = None
         self.terms: DataFrame | None = None
 
@@ -85,7 +86,7 @@ class Engine:
         cfg = self.cfg
         q = questions.select("id", "question", "history")
         small_talk = q.where(is_off_topic(F.col("question"))).select("id", F.lit(GREETING).alias("answer"), F.lit("").alias("context"), F.lit("[]").alias("sources"), F.lit("off_topic").alias("branch"), F.array().cast("array<string>").alias("related"))
-        real = cut_lineage(q.where(~is_off_topic(F.col("question"))).withColumn("standalone", F.when(F.size("history") > 0, rewrite_prompt(F.col("history"), F.col("question"), cfg)).otherwise(F.col("question"))))
+        real = cut_lineage(q.where(~is_off_topic(F.col("question"))).withColumn("standalone", standalone(F.col("history"), F.col("question"), self.rewriters, self.hints, cfg)))
         first = cut_lineage(self.retrieve(real, "id", "standalone"))
         broad = cut_lineage(self.retrieve(real, "id", "question", cfg.broad_candidates))
         best = with_fallback(first, broad, "id", cfg).where(F.col("rank") <= cfg.context_chunks)

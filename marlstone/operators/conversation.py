@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..models import Chat, complete
 
 
 def turns(df: DataFrame, key: str, history: str) -> DataFrame:
@@ -46,6 +49,23 @@ def rewrite_prompt(history: Column, question: Column, cfg: Settings = DEFAULTS)
     return F.concat(F.array_join(F.transform(last, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n"), F.lit("\nQuestion: "), question)
 
 
+def expand_hints(question: Column, hints: Mapping[str, str]) -> Column:
+    """A question with the expansions of the phrases it holds behind it; phrases are compared in small letters."""
+    found = [F.when(F.contains(F.lower(question), F.lit(phrase.lower())), F.lit(more)) for phrase, more in hints.items()]
+    return F.concat_ws(" ", question, *found)
+
+
+def standalone(history: Column, question: Column, providers: Sequence[tuple[str, Chat]] | None = None, hints: Mapping[str, str] | None = None, cfg: Settings = DEFAULTS) -> Column:
+    """A question that stands alone: rewritten by a model when there is one, else put behind the last turns, with the expansions of ``hints``.
+
+    A failing model leaves the question as it is.
+    """
+    asked = F.when(F.coalesce(F.size(history), F.lit(0)) > 0, rewrite_prompt(history, question, cfg)).otherwise(question)
+    if providers:
+        asked = F.coalesce(F.nullif(F.trim(complete(asked, providers)["text"]), F.lit("")), question)
+    return expand_hints(asked, hints) if hints else asked
+
+
 def sse_line(kind: Column, text: Column) -> Column:
     """One event of an answer stream."""
     return F.concat(F.lit("data: "), F.to_json(F.struct(kind.alias("type"), text.alias("text"))), F.lit("\n\n"))

@@ -120,10 +120,20 @@ def read(html: str) -> Reader:
     return r
 
 
-def markdown(r: Reader) -> str:
-    """Blocks as markdown, blank lines between them."""
+def with_section(r: Reader) -> list[tuple[str, int, str]]:
+    """The blocks, every table behind a line that names the section it stands in."""
+    out, section = [], ""
+    for kind, level, text in r.blocks:
+        if kind == "heading":
+            section = text
+        out.append((kind, level, f"> *Table from section: **{section}***\n\n{text}" if kind == "table" else text))
+    return out
+
+
+def markdown(r: Reader, annotate: bool = False) -> str:
+    """Blocks as markdown, blank lines between them; with ``annotate`` tables are told apart by their section."""
     made = {"heading": lambda b: "#" * b[1] + " " + b[2], "li": lambda b: "- " + b[2], "image": lambda b: image_block(r, b[1])}
-    return "\n\n".join(made.get(b[0], lambda b: b[2])(b) for b in r.blocks if b[0] != "title")
+    return "\n\n".join(made.get(b[0], lambda b: b[2])(b) for b in (with_section(r) if annotate else r.blocks) if b[0] != "title")
 
 
 def around_image(r: Reader, number: int, before: int = 150, after: int = 200) -> tuple[str, str, str]:
@@ -146,11 +156,11 @@ def image_block(r: Reader, number: int) -> str:
     return f"[IMAGE:{src if not src.startswith('data:') else f'inline {number}'}]\nContext before: {before}\nContext after: {after}"
 
 
-def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
+def extract(pages: DataFrame, key: str, html: str, *, annotate: bool = False) -> DataFrame:
     """(key, title, markdown, links ARRAY<STRUCT<pos, href, text, around>>, images ARRAY<STRUCT<pos, src, alt, section, before, after>>) of every page.
 
     ``around`` is the beginning of the block that a link stands in.  Of a paragraph with pictures the first one stays and
-    its text does not count.  A null page gives empty fields.
+    its text does not count.  ``annotate`` puts the name of the section above every table.  A null page gives empty fields.
     """
     kind = pages.schema[key].dataType.simpleString()
 
@@ -160,7 +170,7 @@ def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
             for k, h in zip(pdf["k"], pdf["h"]):
                 r = read(h or "")
                 title = next((b[2] for b in r.blocks if b[0] == "title"), "")
-                rows.append((k, title, markdown(r), [{"pos": i, "href": a, "text": t, "around": r.blocks[b][2][:AROUND] if b < len(r.blocks) else ""} for i, (a, t, b) in enumerate(r.links)], [dict(zip(("pos", "src", "alt", "section", "before", "after"), (i, s, alt, *around_image(r, i)))) for i, (s, alt, _) in enumerate(r.images)]))
+                rows.append((k, title, markdown(r, annotate), [{"pos": i, "href": a, "text": t, "around": r.blocks[b][2][:AROUND] if b < len(r.blocks) else ""} for i, (a, t, b) in enumerate(r.links)], [dict(zip(("pos", "src", "alt", "section", "before", "after"), (i, s, alt, *around_image(r, i)))) for i, (s, alt, _) in enumerate(r.images)]))
             yield pd.DataFrame(rows, columns=["k", "title", "markdown", "links", "images"])
 
     out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, title string, markdown string, links array<struct<pos: int, href: string, text: string, around: string>>, images array<struct<pos: int, src: string, alt: string, section: string, before: string, after: string>>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone import lineage
 from marlstone.models import plain_reader, read_images
-from marlstone.operators import html, images, incremental
+from marlstone.operators import conversation, html, images, incremental
 from marlstone.sources import files, web
 from marlstone.streaming import ingest
 
@@ -165,3 +165,19 @@ def test_reading_pictures_goes_on(spark):
     results = spark.createDataFrame([("a", "new", "image_text", False, "ocr")], "f string, content string, chunk_type string, is_decorative boolean, scan_method string")
     done = incremental.scans_done(table, results, "f").orderBy("f").collect()
     assert [(r["f"], r["image_content"], r["needs_ocr"]) for r in done] == [("a", "new", False), ("b", "old", False), ("c", None, True)]
+
+
+def test_tables_name_their_section_when_asked(spark):
+    page = "<h2>Fees</h2><table><tr><th>Level</th><th>Fee</th></tr><tr><td>One | two</td><td>10</td></tr></table>"
+    df = spark.createDataFrame([(1, page)], "k int, h string")
+    plain, named = (html.extract(df, "k", "h", annotate=a).first()["markdown"] for a in (False, True))
+    assert named == plain.replace("| Level", "> *Table from section: **Fees***\n\n| Level") and named != plain and "One \\| two" in plain
+
+
+def test_questions_are_rewritten_and_expanded(spark):
+    df = spark.createDataFrame([(1, "And the fee?", [("user", "What is Optics?"), ("assistant", "A course.")]), (2, "When is it?", None)], "id int, question string, history array<struct<role: string, content: string>>")
+    ask = lambda **kw: {r["id"]: r["s"] for r in df.select("id", conversation.standalone(F.col("history"), F.col("question"), **kw).alias("s")).collect()}
+    assert ask()[1].endswith("Question: And the fee?") and ask()[2] == "When is it?"
+    assert ask(providers=[("m", lambda p: " rewritten ")]) == {1: "rewritten", 2: "rewritten"}
+    assert ask(providers=[("m", lambda p: 1 / 0)]) == {1: "And the fee?", 2: "When is it?"}
+    assert ask(hints={"WHEN IS": "date time"})[2] == "When is it? date time" and ask(hints={"x y": "z"})[2] == "When is it?"
