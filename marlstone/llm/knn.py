@@ -4,7 +4,7 @@
 2. *Shards.*  Two levels of spherical k-means cut the space into cells of about ``shard`` vectors: the driver fits
    the square root of the number of cells on a bounded sample, and one task per coarse cell fits its share of the
    fine ones on the sample rows that fall there.  The sample is the rows whose hash is below a bound, SAMPLE rows
-   per cell.  At most CELLS fine centroids exist (64 MB at 64 numbers), which is all that is ever broadcast; beyond
+   per cell but SAMPLE_MOST in all.  At most CELLS fine centroids exist (64 MB at 64 numbers), which is all that is ever broadcast; beyond
    ``shard`` x CELLS vectors the shards grow, which a graph search feels only by the logarithm.  Every vector is
    indexed in the cell of its nearest centroid; a cell with more than ``max_shard`` vectors is dealt out to several
    shards, which all its visitors search.
@@ -41,6 +41,7 @@ from ..lineage import cut_lineage
 
 #: Vectors of a shard, rows of the sample per cell, most cells, vectors beyond which a cell is dealt out.
 SHARD, SAMPLE, CELLS, MAX_SHARD = 3000, 48, 1 << 18, 1 << 16
+SAMPLE_MOST = 1 << 22
 PROBES, MARGIN, COARSE = 6, 0.06, 8
 LINKS, EF_BUILD, EF_SEARCH, EF_GUEST, EF_UPPER, BATCH, WIDE = 14, 24, 16, 12, 4, 1024, 4
 #: A batch of insertions is at most this part of the graph, since its nodes do not see each other.
@@ -305,14 +306,15 @@ def fit_cells(reps: DataFrame, n: int, dim: int, shard: int, sample: int, most:
     cells = max(1, min(math.ceil(n / shard), most))
     n_coarse = math.ceil(math.sqrt(cells))
     h = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
-    part = lambda rows: reps if rows >= n else reps.where(h < int((1 << 40) * rows / n))
+    part = lambda m: reps if m >= n else reps.where(h < int((1 << 40) * m / n))
     # two samples of a bounded number of rows: the driver sees the one for the coarse centroids
     seen = _matrix(part(max(1024, sample * n_coarse)).select("k", "v").toPandas().sort_values("k")["v"], dim)
     if not len(seen):
         seen = _matrix(reps.limit(1).toPandas()["v"], dim)
     coarse = centroids(seen, min(n_coarse, len(seen)))
     shared = reps.sparkSession.sparkContext.broadcast(coarse)
-    share = max(1024, sample * cells) / cells
+    rows = max(1024, min(sample * cells, SAMPLE_MOST))
+    share = rows / cells
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -325,7 +327,7 @@ def fit_cells(reps: DataFrame, n: int, dim: int, shard: int, sample: int, most:
         return pd.DataFrame({"c": np.int32(pdf["c"].iloc[0]), "v": [r.tobytes() for r in fine]})
 
     kind = reps.schema["k"].dataType.simpleString()
-    fitted = part(max(1024, sample * cells)).select("k", "v").mapInPandas(assign, f"c int, k {kind}, v binary").groupBy("c").applyInPandas(fit, "c int, v binary").toPandas()
+    fitted = part(rows).select("k", "v").mapInPandas(assign, f"c int, k {kind}, v binary").groupBy("c").applyInPandas(fit, "c int, v binary").toPandas()
     if not len(fitted):
         return Cells(coarse, np.arange(len(coarse)), coarse)
     fitted = fitted.sort_values(["c", "v"])
@@ -453,7 +455,9 @@ def _with_copies(found: DataFrame, members: DataFrame, key: str, k: int) -> Data
     far = found.join(first.withColumnRenamed("rep", "nk"), "nk", "left")
     far = far.select("k", F.explode(F.coalesce("ks", F.array("nk"))).alias("neighbour"), "s")
     every = far.unionByName(first.select(F.col("rep").alias("k"), F.explode("ks").alias("neighbour"), F.lit(1.0).alias("s")))
-    every = every.join(members.select(F.col("rep").alias("k"), F.col("k").alias("mk")), "k", "left").select(F.coalesce("mk", "k").alias(key), "neighbour", "s")
+    # an inner join for the vectors with copies, so that one with very many can be split
+    theirs = every.join(members.select(F.col("rep").alias("k"), F.col("k").alias("mk")), "k").select(F.col("mk").alias(key), "neighbour", "s")
+    every = every.join(first.select(F.col("rep").alias("k")), "k", "left_anti").select(F.col("k").alias(key), "neighbour", "s").unionByName(theirs)
     w = Window.partitionBy(key).orderBy(F.desc("s"), "neighbour")
     ranked = every.where(F.col(key) != F.col("neighbour")).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).select(key, "neighbour", F.col("s").alias("similarity"), "rank")

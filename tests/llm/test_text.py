@@ -1,5 +1,7 @@
 """Residue, pairs, spam, scanned pages: cases, traps and defined results."""
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -196,3 +198,62 @@ def test_text_and_type_come_from_one_row(spark):
     rows = [("a", ["When is the exam?"], "T\nThe exam is in May and the", "text"), ("a", ["When is the exam?"], "U\nThe exam is in May.", "table")]
     df = spark.createDataFrame(rows, "id string, q array<string>, t string, c string")
     assert [r["defect"] for r in pairs.find_defects(df, "id", "q", "t", "c").collect()] == ["truncated"]
+
+
+def test_spam_on_both_sides_of_the_prose(spark):
+    bare = "\n".join(f"https://x.example/{i % 50}" for i in range(200))
+    tags = " ".join(f"cheap {w} notes online {w} degree" for w in ("optics", "logic", "harbour", "music", "botany") * 12)
+    reading = " ".join(s.format(n="Optics") for s in SENTENCES) + "\n\n" + "\n".join(f"* https://x.example/{i}" for i in range(4))
+    listed = "\n\n" + "\n".join(f"https://x.example/{i}" for i in range(12))  # prose that knows lists of addresses
+    df = spark.createDataFrame([*((i, t + listed) for i, t in corpus()), (200, bare), (201, tags), (202, reading)], "id int, text string")
+    scores = {r["id"]: r for r in spam.score_pages(df, "id", "text").collect()}
+    assert {k for k, r in scores.items() if r["abnormal"] >= spam.SHARE} == {200, 201}
+    assert scores[200]["prose_perplexity"] < scores[202]["prose_perplexity"] < scores[201]["prose_perplexity"]
+
+
+def test_spread_of_scores():
+    counts = np.zeros(spam.BINS * spam.TOP, int)
+    draws = np.random.default_rng(3).normal(5.0, 0.6, 200_000)
+    np.add.at(counts, (draws * spam.BINS).astype(int), 1)
+    median, spread = spam.usual(counts)
+    assert abs(median - 5.0) < 0.02 and abs(spread - 0.6) < 0.02
+
+
+def test_word_filter_holds_its_words_and_few_others(spark):
+    words = [f"wörd{i}" for i in range(500)]
+    table = scan_repair.word_filter(spark.createDataFrame([(w,) for w in words], "word string"))
+    bits = len(table) << 5
+    held = lambda w: all(table[p >> 5] >> (p & 31) & 1 for p in scan_repair.filter_bits(w, bits))
+    assert all(map(held, words)) and sum(held(f"other{i}") for i in range(2000)) < 100
+    assert not scan_repair.word_filter(spark.createDataFrame([], "word string")).any()
+
+
+def test_pages_are_labelled_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    pages = [np.stack([rng.integers(0, n, k) for n in scan_repair.SIZES], axis=1) for k in (1, 7, 3, 12, 7, 1)]
+    sizes = np.array([len(p) for p in pages])
+    both = np.concatenate(pages)
+    counts = np.zeros((scan_repair.STATES, 1 + scan_repair.STATES + scan_repair.WIDTH))
+    scan_repair.tally(both, sizes, scan_repair.viterbi(both, sizes, None), counts)
+    assert counts[:, 0].sum() == len(pages) and counts[:, 1 : scan_repair.STATES + 1].sum() == sizes.sum() - len(pages)
+    model = scan_repair.estimate(counts)
+    alone = np.concatenate([scan_repair.viterbi(p, np.array([len(p)]), model) for p in pages])
+    assert (scan_repair.viterbi(both, sizes, model) == alone).all()
+    assert len(scan_repair.viterbi(both[:0], sizes[:0], model)) == 0
+
+
+def best_path(x, model):
+    """Every labelling of a short page, by its score."""
+    n, s = len(x), scan_repair.STATES
+    emit = lambda y, i: sum(model[y, s + 1 + scan_repair.OFFSETS[f] + x[i, f]] for f in range(len(scan_repair.SIZES)))
+    score = lambda ys: model[ys[0], 0] + sum(model[a, 1 + b] for a, b in itertools.pairwise(ys)) + sum(emit(y, i) for i, y in enumerate(ys))
+    return max(itertools.product(range(s - 1), repeat=n), key=score)
+
+
+def test_viterbi_finds_the_best_labelling():
+    rng = np.random.default_rng(8)
+    model = scan_repair.estimate(rng.integers(1, 50, (scan_repair.STATES, 1 + scan_repair.STATES + scan_repair.WIDTH)).astype(float))
+    for _ in range(5):
+        x = np.stack([rng.integers(0, n, 4) for n in scan_repair.SIZES], axis=1)
+        x[:, 0], x[:, 11], x[:, 12] = x[:, 0] % 5, 0, 0  # no blank lines, no tables: no label is ruled out
+        assert tuple(scan_repair.viterbi(x, np.array([4]), model)) == best_path(x, model)
