@@ -114,11 +114,27 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: documents placed, containers above the capacity, pieces placed twice, documents split without need, groups out of balance."""
+    parts = []
+    for n, c, p in _packed(spark, d):
+        p = cut_lineage(p)
+        full = p.groupBy("container").agg(F.sum("size").alias("load"), F.count_distinct("step_group").alias("groups"))
+        pieces = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("places"), F.sum("size").alias("n"))
+        sizes = p.groupBy("step_group").agg(F.count_distinct("container").alias("held"))
+        a = full.agg(F.count_if(F.col("load") > c).alias("overfull"), F.count_if(F.col("groups") > 1).alias("torn"))
+        b = pieces.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("pieces") != F.col("places")).alias("twice"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= c)).alias("split"))
+        g = sizes.agg((F.coalesce(F.max("held") - F.min("held"), F.lit(0)) > 1).alias("uneven"))
+        a, b, g = (x.withColumn("limit_name", F.lit(n)) for x in (a, b, g))
+        parts.append(a.join(b, "limit_name").join(g, "limit_name").select("limit_name", "documents", "overfull", "torn", "twice", "split", "uneven"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_spam(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_groups": p4_groups, "p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_groups": p4_groups, "p1_found": p1_found, "p1_residue": p1_residue, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_found": p9_found}
 
 #: White space as the operators see it, for a dialect whose \s is ASCII only.
 _S = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -139,4 +155,10 @@ _P4 = r"""WITH c AS (SELECT chunk_id, regexp_extract_all(lower(min(content)), '[
     n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id), p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
     SELECT x AS chunk_id_a, y AS chunk_id_b FROM p JOIN n u ON u.chunk_id = x JOIN n v ON v.chunk_id = y WHERE m >= 0.7 * (u.n + v.n - m)"""
 
-ORACLES: dict[str, str] = {"p4_found": _P4, "p5_found": _P5}
+_P4_PAIRS = _P4[: _P4.index("    SELECT x AS")] + """, q AS (SELECT x, y, m = u.n AND m = v.n AS same FROM p JOIN n u ON u.chunk_id = x JOIN n v ON v.chunk_id = y WHERE m >= 0.7 * (u.n + v.n - m)), e AS (SELECT x, y, same FROM q UNION ALL SELECT y, x, same FROM q)"""
+_P4_GROUPS = _P4_PAIRS.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, k AS (SELECT n.chunk_id, least(n.chunk_id, min(e.y) FILTER (e.same)) AS rep, count(*) FILTER (e.same) AS copies FROM n LEFT JOIN e ON e.x = n.chunk_id GROUP BY n.chunk_id),
+    r AS (SELECT chunk_id, chunk_id AS reached FROM n UNION SELECT r.chunk_id, e.y FROM r JOIN e ON e.x = r.reached), g AS (SELECT chunk_id, min(reached) AS group_id FROM r GROUP BY chunk_id), o AS (SELECT e.x, count(DISTINCT k.rep) AS others FROM e JOIN k ON k.chunk_id = e.y WHERE NOT e.same GROUP BY e.x)
+    SELECT g.chunk_id, g.group_id, coalesce(o.others, 0) + k.copies AS n_links FROM g JOIN k ON k.chunk_id = g.chunk_id LEFT JOIN o ON o.x = g.chunk_id"""
+_P8_CHECKS = "SELECT limit_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0 AS overfull, 0 AS torn, 0 AS twice, 0 AS split, false AS uneven FROM size_limits WHERE limit_name IN ('pack_small', 'pack_large')"
+
+ORACLES: dict[str, str] = {"p4_found": _P4, "p4_groups": _P4_GROUPS, "p5_found": _P5, "p8_checks": _P8_CHECKS}
