@@ -28,6 +28,8 @@ class Reader(HTMLParser):
         self.skip = ""  # tag that is being skipped, and how deep
         self.depth = 0
         self.images: list[tuple[str, str, int]] = []
+        self.headings: list[tuple[int, str, str]] = []  # level, title, anchor
+        self.own_id = ""  # id of the open heading, or of the first link or span in it
         self.pictured = False  # the open paragraph is that of a picture: its text does not count
         self.href: str | None = None
         self.anchor: list[str] = []
@@ -41,6 +43,8 @@ class Reader(HTMLParser):
             return
         if text:
             self.blocks.append((self.kind or "p", self.level, text))
+            if self.kind == "heading":
+                self.headings.append((self.level, text, self.own_id))
         self.text, self.kind, self.level = [], "", 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -50,6 +54,8 @@ class Reader(HTMLParser):
         if tag in SKIPPED or tag == "div" and dict(attrs).get("id") in SKIPPED_IDS:
             self.skip, self.depth = tag, 1
             return
+        if self.kind == "heading" and tag in ("a", "span") and not self.own_id:
+            self.own_id = dict(attrs).get("id") or ""
         if tag == "img" and not self.pictured:
             src = dict(attrs).get("src") or ""
             if src:
@@ -74,6 +80,7 @@ class Reader(HTMLParser):
             self.flush()
             self.kind = "heading" if tag in ("h1", "h2", "h3", "h4") else "title" if tag == "title" else "li" if tag == "li" else "p"
             self.level = int(tag[1]) if self.kind == "heading" else 0
+            self.own_id = dict(attrs).get("id") or ""
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
@@ -157,8 +164,9 @@ def image_block(r: Reader, number: int) -> str:
 
 
 def extract(pages: DataFrame, key: str, html: str, *, annotate: bool = False) -> DataFrame:
-    """(key, title, markdown, links ARRAY<STRUCT<pos, href, text, around>>, images ARRAY<STRUCT<pos, src, alt, section, before, after>>) of every page.
+    """(key, title, markdown, links ARRAY<STRUCT<pos, href, text, around>>, images ARRAY<STRUCT<pos, src, alt, section, before, after>>, headings ARRAY<STRUCT<pos, level, title, anchor>>) of every page.
 
+    The anchor of a heading is its own id, else that of the first link or span in it, else empty.
     ``around`` is the beginning of the block that a link stands in.  Of a paragraph with pictures the first one stays and
     its text does not count.  ``annotate`` puts the name of the section above every table.  A null page gives empty fields.
     """
@@ -170,10 +178,10 @@ def extract(pages: DataFrame, key: str, html: str, *, annotate: bool = False) ->
             for k, h in zip(pdf["k"], pdf["h"]):
                 r = read(h or "")
                 title = next((b[2] for b in r.blocks if b[0] == "title"), "")
-                rows.append((k, title, markdown(r, annotate), [{"pos": i, "href": a, "text": t, "around": r.blocks[b][2][:AROUND] if b < len(r.blocks) else ""} for i, (a, t, b) in enumerate(r.links)], [dict(zip(("pos", "src", "alt", "section", "before", "after"), (i, s, alt, *around_image(r, i)))) for i, (s, alt, _) in enumerate(r.images)]))
-            yield pd.DataFrame(rows, columns=["k", "title", "markdown", "links", "images"])
+                rows.append((k, title, markdown(r, annotate), [{"pos": i, "href": a, "text": t, "around": r.blocks[b][2][:AROUND] if b < len(r.blocks) else ""} for i, (a, t, b) in enumerate(r.links)], [dict(zip(("pos", "src", "alt", "section", "before", "after"), (i, s, alt, *around_image(r, i)))) for i, (s, alt, _) in enumerate(r.images)], [dict(zip(("pos", "level", "title", "anchor"), (i, *h))) for i, h in enumerate(r.headings)]))
+            yield pd.DataFrame(rows, columns=["k", "title", "markdown", "links", "images", "headings"])
 
-    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, title string, markdown string, links array<struct<pos: int, href: string, text: string, around: string>>, images array<struct<pos: int, src: string, alt: string, section: string, before: string, after: string>>")
+    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, title string, markdown string, links array<struct<pos: int, href: string, text: string, around: string>>, images array<struct<pos: int, src: string, alt: string, section: string, before: string, after: string>>, headings array<struct<pos: int, level: int, title: string, anchor: string>>")
     return out.withColumnRenamed("k", key)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import lineage
+from marlstone.functions.text import heading_line
 from marlstone.models import plain_reader, read_images
 from marlstone.operators import conversation, html, images, incremental
 from marlstone.sources import files, web
@@ -181,3 +182,13 @@ def test_questions_are_rewritten_and_expanded(spark):
     assert ask(providers=[("m", lambda p: " rewritten ")]) == {1: "rewritten", 2: "rewritten"}
     assert ask(providers=[("m", lambda p: 1 / 0)]) == {1: "And the fee?", 2: "When is it?"}
     assert ask(hints={"WHEN IS": "date time"})[2] == "When is it? date time" and ask(hints={"x y": "z"})[2] == "When is it?"
+
+
+def test_headings_are_numbered_by_their_anchors(spark):
+    page = """<p><a href="#h.a">1 Fees</a> <a href="#h.b">1.1 Dates</a> <a href="#h.c">2 Exams</a></p>
+    <h1 id="h.a">Fees</h1><h2><span id="h.b"></span>1.1 Dates</h2><h1><a id="h.c">Exams</a></h1><h2>Free</h2>"""
+    out = html.extract(spark.createDataFrame([(1, page)], "k int, h string"), "k", "h")
+    toc = out.select("k", F.inline(html.contents(F.col("links"))).alias("anchor", "number", "title", "level")).select("k", "anchor", "number")
+    found = html.number_headings(out.select("k", F.inline("headings")), toc, "anchor", "k").orderBy("pos")
+    lines = [r["line"] for r in found.select(heading_line(F.col("level"), F.col("title"), F.col("number")).alias("line")).collect()]
+    assert lines == ["# 1 Fees", "## 1.1 Dates", "# 2 Exams", "## Free"]
